@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +54,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tidemark-ship-")  # on the driver, which serves the archive while the session lasts
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
