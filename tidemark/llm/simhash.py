@@ -181,15 +181,15 @@ def allot(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
 
 
 def _value(first: np.ndarray, bits: list[int]) -> np.ndarray:
-    out = np.zeros(len(first), dtype=np.int64)
+    out = np.zeros(len(first), dtype=np.uint64)
     for k, b in enumerate(bits):
-        out |= ((first >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
-    return out
+        out |= ((first >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+    return out.view(np.int64)
 
 
 def flips(width: int, most: int) -> np.ndarray:
     """Values to xor with for all changes of 1 to ``most`` bits."""
-    return np.array([sum(1 << i for i in some) for k in range(1, most + 1) for some in combinations(range(width), k)], dtype=np.int64)
+    return np.array([sum(1 << i for i in some) for k in range(1, most + 1) for some in combinations(range(width), k)], dtype=np.uint64).view(np.int64)
 
 
 def bucket_rows(nodes: DataFrame, plan: list[tuple[list[int], int]], words: int) -> DataFrame:
