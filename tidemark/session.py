@@ -72,6 +72,12 @@ def ship(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
+def ship_active() -> None:
+    """``ship`` for the active session, for functions that get no DataFrame."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
