@@ -158,6 +158,14 @@ def test_packing(spark, monkeypatch):
     assert packing.pack_documents(frame(spark, []), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_chunks_are_the_library_s():
+    tok, coder = library("word_bpe_49k.json"), packing.ChunkTokenizer(vocabulary("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}1{c}{c} {c} X{c.upper()}'S" for c in points] + [f"{a}{b} {b}É{a}" for a in map(chr, range(256)) for b in "aÉ1'%\u0301 "] + ODD[1:]
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == e.ids, ascii(t)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_local_search_keeps_pieces_and_never_adds_bins(seed):
     rng = np.random.default_rng(seed)

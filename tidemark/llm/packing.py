@@ -6,8 +6,8 @@ two for one, where that fills the receiving bin further and so raises the sum of
 empty or nothing helps. Bins that stay underfull are broken up and packed again in fewer tasks, round by round, so that
 the number of bins doesn't grow with the number of tasks.
 
-Tokens of a white-space-delimited chunk don't depend on what surrounds it, so workers keep the ids of chunks in a table
-of fixed size and call the tokenizer for new chunks only.
+Tokens of a white-space-delimited chunk don't depend on what surrounds it, so workers keep the ids of chunks, and of the
+words in them, in tables of fixed size and call the tokenizer for new ones only.
 
 Cases: a null or empty text is one piece with the closing id alone; a text longer than a sequence is cut into full pieces
 and a rest; equal rows are packed separately; an empty table gives an empty result; other columns are ignored.
@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,45 @@ from tidemark.llm.common import slices
 CAPACITY, CLOSING_ID = 4096, 1
 #: Pieces that one task packs: what it holds in memory.
 TASK_PIECES = 40_000
-KEPT_CHUNKS, LONGEST_CHUNK = 400_000, 64
+KEPT_CHUNKS, LONGEST_CHUNK = 120_000, 64
 #: Bins that one document is tried against by a swap. It bounds the search, not what is packed.
 TRIED_BINS = 400
 
 
+class Memo:
+    """Ids of what was seen: in a table of what came again, kept for good, and one of what is new, emptied when full."""
+
+    def __init__(self):
+        self.often: dict = {}
+        self.new: dict = {}
+
+    def recall(self, key):
+        if (ids := self.new.get(key)) is not None and len(self.often) < KEPT_CHUNKS:
+            self.often[key] = ids
+        return ids
+
+    def get(self, key):
+        ids = self.often.get(key)
+        return self.recall(key) if ids is None else ids
+
+    def add(self, key, ids: bytes) -> bytes:
+        if len(key) <= LONGEST_CHUNK:
+            if len(self.new) >= KEPT_CHUNKS:
+                self.new.clear()
+            self.new[key] = ids
+        return ids
+
+
 class ChunkTokenizer:
-    """The tokenizer's ids of texts, chunk by chunk."""
+    """The tokenizer's ids of texts, chunk by chunk.
+
+    Chunks of printable ASCII and Latin-1 characters, for which the tokenizer's normalizer is lower-casing, are cut by
+    its rule for words, and its model is asked for each new word; it is asked for other chunks as a whole.
+    """
+
+    #: The vocabulary's rule for words.
+    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    SIMPLE = regex.compile(r"[!-~\u00a1-\u00ff]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,25 +79,29 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed unsigned 32-bit numbers."""
-        split = [t.encode().split() for t in texts]  # at the six ASCII white-space characters, which no token spans
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
-        known = self.known
-        fresh = list({c for some in split for c in some if c not in known})
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            found = self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)
-            for chunk, e in zip(some, found, strict=True):
-                known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, some)) for some in split]
-        for c in fresh:
-            if len(c) > LONGEST_CHUNK:
-                del known[c]
-        return out
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.known, self.words = Memo(), Memo()
+
+    def word(self, word: str) -> bytes:
+        name = word if word.isascii() else "".join(map(self.names.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+
+    def chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if b"<|" in chunk or not self.SIMPLE.fullmatch(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.words.get(w) or self.words.add(w, self.word(w)) for w in self.WORDS.findall(text.lower())])
+
+    def encode(self, text: str) -> bytes:
+        """Ids as packed little-endian unsigned 32-bit numbers."""
+        chunks = text.encode().split()  # at the six ASCII white-space characters, which no token spans
+        found = list(map(self.known.often.get, chunks))
+        if None in found:
+            recall, add = self.known.recall, self.known.add
+            found = [f if f is not None else recall(c) or add(c, self.chunk(c)) for c, f in zip(chunks, found, strict=True)]
+        return b"".join(found)
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -80,11 +118,11 @@ def pieces(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         for part in slices(batches, "text"):
-            ids = tokenizer(vocabulary_path).encode([t or "" for t in part.column("text").to_pylist()])
+            coder = tokenizer(vocabulary_path)
             rows: list[list] = [[], [], [], [], []]
             closing = CLOSING_ID.to_bytes(4, "little")
-            for doc, some in zip(part.column("doc_id").to_pylist(), ids, strict=True):
-                some += closing
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                some = coder.encode(text or "") + closing
                 for k, at in enumerate(range(0, len(some), 4 * capacity)):
                     cut = some[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
