@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def build(app: str = "tidemark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -69,6 +70,9 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(top.rglob("*.py")):
             out.write(path, path.relative_to(top.parent))
     context.addPyFile(str(archive))
+    # texts may be very long: batches to Python are bounded by bytes, unless the session has a bound of its own
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, "8m")
     context._tidemark_shipped = True
 
 
