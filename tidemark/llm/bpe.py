@@ -7,7 +7,7 @@ shared folder, memory-mapped by the workers. A word that isn't in it is merged b
 only affects speed. Decoding joins the bytes of the ids.
 
 Texts are first cut before single spaces that stand between other characters, where a word always ends; workers keep the
-ids of such chunks in a table of fixed size.
+ids of such chunks, and of words, in tables of fixed size.
 
 Cases: null counts as empty and has no ids; special tokens in a text are found first, as the library does; long words
 take O(n log n); equal rows get equal results; an empty table gives an empty result; other columns pass through, except
@@ -23,7 +23,6 @@ import struct
 from array import array
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import session
-from tidemark.llm.common import map_file, map_texts, slices, write_file
+from tidemark.llm.common import MEMO_LONGEST, Memo, map_file, map_texts, slices, write_file
 
 #: The vocabulary's rule for words; white space is Unicode's.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Two characters of white space together: such texts are cut by the rule alone.
 UNEVEN = regex.compile(r"[\s\x1c-\x1f\x85]{2}")
-LEXICON_WORDS, COUNTED, KEPT_CHUNKS, LONGEST_CHUNK = 65_536, 200_000, 400_000, 64
+LEXICON_WORDS, COUNTED = 65_536, 200_000
 
 
 class Vocabulary:
@@ -193,7 +192,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
                 found = Counter({c: n for c, n in found.items() if n > least})
         words: Counter = Counter()
         for chunk, n in found.items():
-            if n > 1 and len(chunk) <= LONGEST_CHUNK:
+            if n > 1 and len(chunk) <= MEMO_LONGEST:
                 for word in WORDS.findall(" " + chunk):
                     words[word] += n
         if words:
@@ -217,21 +216,29 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.spaced, self.plain = _Table(self, " "), _Table(self, "")
+        self.spaced, self.plain = Memo(), Memo()
 
-    def words(self, text: str) -> bytes:
-        out = array("I")
-        for word in WORDS.findall(text):
-            raw = word.encode()
-            ids = self.lexicon.get(raw) if self.lexicon else None
-            out.extend(self.vocabulary.merge(raw) if ids is None else ids)
-        return out.tobytes()
+    def word(self, word: str) -> bytes:
+        raw = word.encode()
+        ids = self.lexicon.get(raw) if self.lexicon else None
+        return array("I", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self.plain.get(word) or self.plain.add(word, self.word(word))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk with a space before it."""
+        return b"".join(map(self._word, WORDS.findall(" " + chunk)))
 
     def _ordinary(self, text: str) -> bytes:
         if UNEVEN.search(text):
-            return b"".join([self.plain[w] for w in WORDS.findall(text)])
+            return b"".join(map(self._word, WORDS.findall(text)))
         head, *rest = chunks(text)
-        return self.plain[head] + b"".join(map(self.spaced.__getitem__, rest))
+        found = list(map(self.spaced.often.get, rest))
+        if None in found:
+            recall, add = self.spaced.recall, self.spaced.add
+            found = [f if f is not None else recall(c) or add(c, self._chunk(c)) for c, f in zip(rest, found, strict=True)]
+        return b"".join([*map(self._word, WORDS.findall(head)), *found])
 
     def encode(self, text: str) -> bytes:
         if self.vocabulary.cut is None or not any(s in text for s in self.vocabulary.special):
@@ -240,22 +247,7 @@ class Encoder:
         return b"".join(struct.pack("<I", self.vocabulary.special[p]) if i % 2 else self._ordinary(p) for i, p in enumerate(parts) if p)
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
-
-
-class _Table(dict):
-    """Ids of chunks; of fixed size."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoder.words(self.lead + chunk)
-        if len(chunk) <= LONGEST_CHUNK:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        return b"".join(map(self.vocabulary.bytes.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -68,6 +68,34 @@ def _array(values, kind: T.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=to_arrow_type(kind))
 
 
+#: Entries of a table of a memo, and the length of a key that is kept.
+MEMO_KEYS, MEMO_LONGEST = 60_000, 64
+
+
+class Memo:
+    """Ids of what was seen: in a table of what came again, kept for good, and one of what is new, emptied when full."""
+
+    def __init__(self):
+        self.often: dict = {}
+        self.new: dict = {}
+
+    def recall(self, key):
+        if (ids := self.new.get(key)) is not None and len(self.often) < MEMO_KEYS:
+            self.often[key] = ids
+        return ids
+
+    def get(self, key):
+        ids = self.often.get(key)
+        return self.recall(key) if ids is None else ids
+
+    def add(self, key, ids: bytes) -> bytes:
+        if len(key) <= MEMO_LONGEST:
+            if len(self.new) >= MEMO_KEYS:
+                self.new.clear()
+            self.new[key] = ids
+        return ids
+
+
 # Files in the shared folder: readable from the driver and from every executor.
 
 

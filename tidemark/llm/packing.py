@@ -27,40 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm.common import slices
+from tidemark.llm.common import Memo, slices
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Pieces that one task packs: what it holds in memory.
 TASK_PIECES = 40_000
-KEPT_CHUNKS, LONGEST_CHUNK = 120_000, 64
 #: Bins that one document is tried against by a swap. It bounds the search, not what is packed.
 TRIED_BINS = 400
 
 
-class Memo:
-    """Ids of what was seen: in a table of what came again, kept for good, and one of what is new, emptied when full."""
-
-    def __init__(self):
-        self.often: dict = {}
-        self.new: dict = {}
-
-    def recall(self, key):
-        if (ids := self.new.get(key)) is not None and len(self.often) < KEPT_CHUNKS:
-            self.often[key] = ids
-        return ids
-
-    def get(self, key):
-        ids = self.often.get(key)
-        return self.recall(key) if ids is None else ids
-
-    def add(self, key, ids: bytes) -> bytes:
-        if len(key) <= LONGEST_CHUNK:
-            if len(self.new) >= KEPT_CHUNKS:
-                self.new.clear()
-            self.new[key] = ids
-        return ids
-
-
 class ChunkTokenizer:
     """The tokenizer's ids of texts, chunk by chunk.
 
