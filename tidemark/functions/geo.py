@@ -81,7 +81,7 @@ def bounding_circle(areas: Column, berth: Column) -> Column:
 
 def bbox(positions: Column) -> Column:
     """[least x, least y, greatest x, greatest y] of positions [x, y]; null if one isn't finite."""
-    x, y = F.transform(positions, lambda p: p[0]), F.transform(positions, lambda p: p[1])
+    x, y = F.transform(positions, lambda p: F.get(p, 0)), F.transform(positions, lambda p: F.get(p, 1))
     box = F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))
     return F.when(F.forall(box, finite), box)
 
