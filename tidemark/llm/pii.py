@@ -150,6 +150,11 @@ def pii_spans(docs: DataFrame, text_col: str = "text", least: float = 0.5, maske
     return map_texts(docs, text_col, run, fields, docs.columns)
 
 
+def of_kind(kind: str):
+    """A function of a span: the kind if it is that one, else null."""
+    return lambda span: F.when(span["kind"] == kind, span["kind"])
+
+
 def listed(spans, only_base: bool = False):
     """kind:start:end of the spans, comma-joined."""
     some = F.filter(spans, lambda s: s["kind"].isin(*BASE)) if only_base else spans

@@ -14,7 +14,7 @@ from tidemark.llm.embedding_dedup import embedding_groups
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.pii import BASE, listed, pii_spans
+from tidemark.llm.pii import BASE, listed, of_kind, pii_spans
 from tidemark.llm.simhash import simhash_groups
 
 
@@ -37,7 +37,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii_spans(documents(spark, sf_dir).select("doc_id", "text"))
-    number = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    number = [F.array_size(F.array_compact(F.transform("spans", of_kind(k)))).cast("long").alias(f"n_{k}") for k in BASE]
     spans = F.col("spans")
     return done.select("doc_id", *number, F.sha2(listed(spans, only_base=True), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
