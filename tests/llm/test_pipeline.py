@@ -31,8 +31,13 @@ def by_id(df):
     return sorted((tuple(r[c] for c in COLUMNS) for r in df.collect()), key=lambda r: (r[0], r[1] or ""))
 
 
-def test_stages_against_brute_force(spark, table):
+def test_stages_against_brute_force(spark, table, tmp_path):
     folder, rows = table
+
+    def stored(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "pii", "packing"]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert docs.columns == COLUMNS
@@ -40,24 +45,24 @@ def test_stages_against_brute_force(spark, table):
     model = language.train(docs)
     names, scores = language.predict(model, [r[1] for r in rows])
     want = [r for r, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
-    kept = corpus_pipeline.identify_language(spark, docs, folder)
+    kept = stored(corpus_pipeline.identify_language(spark, docs, folder), "a")
     assert by_id(kept) == want and {r[0] for r in rows} - {r[0] for r in want} >= {120, 121, 122}
 
     lines = ["\n".join(x) for x, _ in brute_lines([(r[0], r[1]) for r in want], 10)]
     want = [(r[0], t, r[2], r[3], len(t)) for r, t in zip(want, lines, strict=True)]
-    kept = corpus_pipeline.drop_lines(spark, kept, folder)
+    kept = stored(corpus_pipeline.drop_lines(spark, kept, folder), "b")
     assert by_id(kept) == want and not any("Subscribe" in r[1] for r in want)
 
     prints = simhash.fingerprints([r[1] for r in want], corpus_pipeline.SHINGLE, corpus_pipeline.WORDS)
     bits = lambda a, b, n: int(np.bitwise_count(prints[a][:n] ^ prints[b][:n]).sum())
     links = [(a, b) for a in range(len(want)) for b in range(a) if bits(a, b, 1) <= corpus_pipeline.RADIUS and bits(a, b, 4) <= corpus_pipeline.VERIFY]
     want = [r for i, (r, g) in enumerate(zip(want, groups_of(len(want), links), strict=True)) if g == i]
-    kept = corpus_pipeline.drop_near_copies(spark, kept, folder)
+    kept = stored(corpus_pipeline.drop_near_copies(spark, kept, folder), "c")
     assert by_id(kept) == want
 
     masked = [pii.mask(r[1], pii.find(r[1])) for r in want]
     want = [(r[0], t, r[2], r[3], len(t)) for r, t in zip(want, masked, strict=True)]
-    kept = corpus_pipeline.mask_personal_data(spark, kept, folder)
+    kept = stored(corpus_pipeline.mask_personal_data(spark, kept, folder), "d")
     assert by_id(kept) == want and not any("@b.co" in r[1] for r in want)
 
     tok = library("word_bpe_49k.json")

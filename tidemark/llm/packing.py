@@ -16,13 +16,13 @@ and a rest; equal rows are packed separately; an empty table gives an empty resu
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +43,11 @@ class ChunkTokenizer:
     its rule for words, and its model is asked for each new word; it is asked for other chunks as a whole.
     """
 
-    #: The vocabulary's rule for words.
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    SIMPLE = regex.compile(r"[!-~\u00a1-\u00ff]+")
+    #: The vocabulary's rule for words, for lower-case Latin-1 without white space.
+    LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+    #: Marks that make one word at the end of a chunk.
+    MARKS = ".,!?;:%&$*#|-\""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,9 +67,14 @@ class ChunkTokenizer:
 
     def chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if b"<|" in chunk or not self.SIMPLE.fullmatch(text):
+        # no character beyond Latin-1, nothing unprintable, no special token
+        if max(chunk) > 0xC3 or not text.isprintable() or b"<|" in chunk:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join([self.words.get(w) or self.words.add(w, self.word(w)) for w in self.WORDS.findall(text.lower())])
+        text = text.lower()
+        body = text.rstrip(self.MARKS)
+        parts = ([body, text[len(body) :]] if len(body) < len(text) else [body]) if body.isalpha() else self.WORDS.findall(text)
+        often, known = self.words.often.get, self.words
+        return b"".join([often(w) or known.recall(w) or known.add(w, self.word(w)) for w in parts])
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit numbers."""
