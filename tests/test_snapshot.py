@@ -169,3 +169,42 @@ def test_streams(spark, tmp_path):
     events.merge_reports(reports, table, str(tmp_path / "c2")).awaitTermination(120)
     errors = {r.id: r["count"] for r in spark.read.parquet(source).filter("event_type = 'error'").groupBy(F.col("user_id").cast("string").alias("id")).count().collect()}
     assert {r.id: r.reports for r in table.read().collect()} == {"1": errors.get("1", 0), "2": 5 + errors.get("2", 0)}
+
+
+def test_service(spark, tmp_path):
+    import json
+
+    from tidemark.api import Service
+    from tidemark.operators import notices as n
+
+    service = Service(spark, str(tmp_path / "db"), clock=lambda: NOW)
+    service.add_notice(json.dumps({"kind": "info", "title": "By hand", "description": "d", "activeFrom": "2026-05-01T00:00:00Z", "areas": [{"label": "x", "geometryType": "point", "points": [{"lat": 35.9, "long": 14.5}]}]}))
+    page = service.get_notices({"limit": "5"})
+    assert [x["title"] for x in page["items"]] == ["By hand"] and not page["hasMore"] and page["items"][0]["boundingCircle"]["radius"] == 0
+    id_ = page["items"][0]["id"]
+    service.report_notice(id_)
+    with pytest.raises(KeyError):
+        service.report_notice("nope")
+    assert service.flagged()["items"][0]["reports"] == 1
+    assert service.notice_metrics()["total"] == 1 and service.manifest()["notices"]["count"] == 1
+    assert service.create_report("t", "damn", 1, 1) == {"accepted": False}
+    made = service.create_report("t", "d", 1, 1)
+    assert [r["id"] for r in service.user_reports()["items"]] == [made["id"]]
+    service.resolve_report(made["id"])
+    assert service.user_reports()["items"] == []
+    with pytest.raises(n.Invalid):
+        service.create_report("", "d", 1, 1)
+    assert service.zones()["total"] == 1 and len(service.view_logs()["items"]) == 1
+    service.dismiss(id_)
+    assert service.flagged()["items"] == []
+
+
+def test_first_import_publishes_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "BATCH", 30)
+    table = store.Table(spark, str(tmp_path / "t"), schemas.NOTICES)
+    seen = []
+    real = table.commit
+    table.commit = lambda rows: (real(rows), seen.append(table.read().count()))[0]
+    spark_map = kml.placemarks(spark, full_map(50))
+    counts = s.bootstrap(table, spark_map, F.lit(NOW).cast("timestamp_ntz"))
+    assert counts["upserted"] == 54 and seen == [30, 54]

@@ -222,3 +222,24 @@ def run_import(notices: DataFrame, placemarks: DataFrame, now: Column, touches_s
     rows = describe(facts(snapshot, notices, now), enrich)
     merged = merge(notices, rows, now)
     return merged.filter("action <> 'delete'").drop("action"), import_summary(merged, rows)
+
+
+#: Zones that a first import publishes at a time.
+BATCH = 8
+
+
+def bootstrap(table, placemarks: DataFrame, now: Column, touches_sea=None, enrich=None) -> dict[str, int]:
+    """The first import into a table without zones: readers get each batch of zones as soon as it is described."""
+    snapshot = zones(placemarks, touches_sea)
+    assert_safe(snapshot, 0)
+    keys = [r.subKey for r in snapshot.select("subKey").orderBy("subKey").collect()]  # names of zones: a map has hundreds
+    counts = {"upserted": 0, "deleted": 0, "kept": 0, "enriched": 0}
+    for i in range(0, len(keys), BATCH):
+        notices = table.read()
+        rows = describe(facts(snapshot.filter(F.col("subKey").isin(keys[i : i + BATCH])), notices, now), enrich)
+        merged = merge(notices, rows, now)
+        made = import_summary(merged.filter("action <> 'delete'"), rows)
+        # zones of earlier batches aren't in this one and stay
+        table.commit(merged.drop("action"))
+        counts = {k: counts[k] + made[k] for k in counts} | {"kept": 0}
+    return counts
