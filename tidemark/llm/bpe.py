@@ -36,7 +36,11 @@ from tidemark.llm.common import MEMO_LONGEST, Memo, map_file, map_texts, slices,
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Two characters of white space together: such texts are cut by the rule alone.
 UNEVEN = regex.compile(r"[\s\x1c-\x1f\x85]{2}")
-LEXICON_WORDS, COUNTED = 65_536, 200_000
+MARKS = ".,!?;:%&$*#|-\""
+LEXICON_WORDS, COUNTED, CHUNKS = 65_536, 200_000, 200_000
+#: Bits of an id in a packed number; more than any rank.
+BITS, UNRANKED = 20, 1 << 60
+MASK = (1 << BITS) - 1
 
 
 class Vocabulary:
@@ -50,7 +54,11 @@ class Vocabulary:
         code = lambda token: bytes(names[c] for c in token)
         self.ids = {code(t): i for t, i in spec["model"]["vocab"].items() if all(c in names for c in t)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(code(a), code(b)): r for r, (a, b) in enumerate(pairs)}
+        pairs = [(code(a), code(b)) for a, b in pairs]
+        self.ranks = {p: r for r, p in enumerate(pairs)}
+        #: for two ids side by side, the rank of their pair and the id that they become, in one number
+        self.pairs = {self.ids[a] << BITS | self.ids[b]: r << BITS | self.ids[a + b] for r, (a, b) in enumerate(pairs)}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for t, i in self.ids.items():
@@ -61,20 +69,19 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Join the pair of least rank, leftmost first, until no pair has a rank."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        if len(parts) > 48:
-            return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+        if len(word) > 48:
+            return self._merge_long([word[i : i + 1] for i in range(len(word))])
+        parts, pair = [self.single[b] for b in word], self.pairs.get
+        ranks = [pair(a << BITS | b, UNRANKED) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != UNRANKED:
+            at = ranks.index(best)
+            parts[at : at + 2] = [best & MASK]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = pair(parts[at] << BITS | parts[at + 1], UNRANKED)
+            if at:
+                ranks[at - 1] = pair(parts[at - 1] << BITS | parts[at], UNRANKED)
+        return parts
 
     def _merge_long(self, parts: list[bytes]) -> list[int]:
         n, ranks = len(parts), self.ranks
@@ -216,7 +223,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.spaced, self.plain = Memo(), Memo()
+        self.spaced, self.plain = Memo(CHUNKS), Memo(CHUNKS)
 
     def word(self, word: str) -> bytes:
         raw = word.encode()
@@ -228,6 +235,9 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk with a space before it."""
+        body = chunk.rstrip(MARKS)
+        if body.isalpha() and chunk.isascii():  # letters, and perhaps marks: the rule gives these two
+            return self._word(" " + body) + self._word(chunk[len(body) :]) if len(body) < len(chunk) else self._word(" " + body)
         return b"".join(map(self._word, WORDS.findall(" " + chunk)))
 
     def _ordinary(self, text: str) -> bytes:

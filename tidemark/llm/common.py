@@ -75,12 +75,13 @@ MEMO_KEYS, MEMO_LONGEST = 60_000, 64
 class Memo:
     """Ids of what was seen: in a table of what came again, kept for good, and one of what is new, emptied when full."""
 
-    def __init__(self):
+    def __init__(self, keys: int | None = None):
+        self.keys = keys or MEMO_KEYS
         self.often: dict = {}
         self.new: dict = {}
 
     def recall(self, key):
-        if (ids := self.new.get(key)) is not None and len(self.often) < MEMO_KEYS:
+        if (ids := self.new.get(key)) is not None and len(self.often) < self.keys:
             self.often[key] = ids
         return ids
 
@@ -90,7 +91,7 @@ class Memo:
 
     def add(self, key, ids: bytes) -> bytes:
         if len(key) <= MEMO_LONGEST:
-            if len(self.new) >= MEMO_KEYS:
+            if len(self.new) >= self.keys:
                 self.new.clear()
             self.new[key] = ids
         return ids
