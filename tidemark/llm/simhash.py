@@ -158,6 +158,7 @@ def pair_shares(n: int, both: np.ndarray, bits: list[int], most: int) -> list[fl
 
 def allot(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
     """The partitions that are probed, with their thresholds: the least estimated cost over all numbers of partitions."""
+    n = max(n, 1)  # probes have a cost also where there is nothing to probe
     best: tuple[float, list] = (float("inf"), [])
     for m in range(1, min(MAX_PARTITIONS, radius + 2) + 1):
         groups, goal = group_bits(n, both, m), radius - m + 1
