@@ -17,7 +17,7 @@ from tidemark.llm.pii import pii_spans
 from tidemark.llm.simhash import simhash_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document that no learned language claims by this score is rejected.
+#: A document that no learned language claims by this score is rejected. Texts unlike the labelled ones have score 0.
 LEAST_LANGUAGE_SCORE = 0.2
 #: Near copies: fingerprints of five-word shingles. 52 of the first 64 bits alike are a similarity of 0.81; a Jaccard
 #: similarity of 0.8 gives about 39 differing bits of 256, with a standard deviation of 6.
@@ -29,7 +29,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, unchanged. Texts without any letter go."""
+    """Documents whose language is recognised, unchanged. Texts without any letter, or in no learned language, go."""
     done = language.identify(docs.select(*COLUMNS), language.train(docs))
     return done.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 

@@ -9,6 +9,12 @@ Symbols: the ``LETTERS`` most frequent letters of the sample in lower case have
 share three. Parameters of the sample: ``per_language`` rows for each label (by hash of the id), of at most ``max_chars``
 characters where there are such rows.
 
+The raw scores of a text sum to 2 - languages, so the largest alone can't tell a foreign text: it never falls below a
+bound. What a text must have besides is learned from the sample: the trigrams around its letters (all else is a space)
+are looked up among the sample's, and the share that one half of the sample lacks of the other's sets how much a text
+may lack (by language). A text that lacks more, or has far fewer letters among its characters than the sample, gets
+score 0.
+
 Cases: a null text, or one without any letter, gets ``und`` and score 0; very long texts cost time in proportion; without
 any labelled row all texts get ``und``; equal texts get equal results; other columns pass through, except those named
 like a result.
@@ -33,6 +39,14 @@ SYMBOLS = LETTERS + 3
 #: Where the codes of one-, two- and three-grams begin.
 BASES = (0, SYMBOLS, SYMBOLS + SYMBOLS**2, SYMBOLS + SYMBOLS**2 + SYMBOLS**3)
 RIDGE, TEMPERATURE = 1e-2, 4.0
+#: Share of unseen trigrams that any text may have, and times the share that held-out texts of its language have.
+LEAST_SLACK, SLACK_TIMES = 0.05, 3.0
+#: Unseen trigrams that a short text may have besides, if they are a quarter of its trigrams at most.
+UNSEEN = 12
+#: Part of the sample's low share of letters that a text must have.
+LETTERS_PART = 1 / 3
+#: The share of held-out texts that may lie beyond what is taken as their bound.
+BEYOND = 0.005
 
 
 @dataclass
@@ -42,6 +56,10 @@ class Model:
     place: np.ndarray  # n-gram code -> column, or -1
     landmarks: np.ndarray  # (columns, landmarks): presence over the root of the landmark's number of n-grams
     weights: np.ndarray  # (landmarks + 1, languages)
+    letter: np.ndarray  # code point -> is a letter
+    seen: np.ndarray  # trigram around a letter -> is in the sample
+    slack: np.ndarray  # share of unseen trigrams that a text may have, by language
+    least_letters: float  # share of letters among characters that a text must have
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
@@ -83,6 +101,58 @@ def letter_table(texts: list[str]) -> np.ndarray:
     return table
 
 
+def around_letters(text: str, table: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Distinct trigrams around letters, whether the letter has a symbol, and the share of letters among the characters.
+
+    Runs of letters and digits that change between them three times or more, such as keys, count as one space.
+    """
+    points = np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4"), len(table) - 1)
+    s, is_letter = table[points].astype(np.int32), letter[points]
+    share = is_letter.sum() / max(1, (s != SPACE).sum())
+    if (digit := s == DIGIT).any():
+        part = is_letter | digit
+        starts = np.flatnonzero(part & ~np.concatenate([[False], part[:-1]]))
+        change = np.zeros(len(s), dtype=np.int32)
+        change[1:] = part[1:] & part[:-1] & (digit[1:] != digit[:-1])
+        mixed = np.add.reduceat(change, starts) >= 3
+        run = np.cumsum(np.bincount(starts, minlength=len(s))) - 1
+        is_letter = is_letter & ~(part & mixed[np.maximum(run, 0)])
+    s = np.concatenate([[SPACE], np.where(is_letter, s, SPACE), [SPACE]])
+    s = s[np.concatenate([[True], (s[1:] != SPACE) | (s[:-1] != SPACE)])]
+    middle = np.flatnonzero(s != SPACE)
+    codes = np.unique((s[middle - 1] * SYMBOLS + s[middle]) * SYMBOLS + s[middle + 1])
+    return codes, codes // SYMBOLS % SYMBOLS != OTHER, float(share)
+
+
+def learn_bounds(model: Model, texts: list[str], labels: list[str]) -> None:
+    """Set what a text of a learned language has in common with the sample."""
+    every = [around_letters(t, model.table, model.letter) for t in texts]
+    halves = [np.zeros(SYMBOLS**3, dtype=bool) for _ in range(2)]
+    # the halves are dealt within each language; equal texts stay in one half
+    turn, half = Counter(), {}
+    for t, y in zip(texts, labels, strict=True):
+        if t not in half:
+            half[t] = turn[y] % 2
+            turn[y] += 1
+    for t, (codes, known, _) in zip(texts, every, strict=True):
+        halves[half[t]][codes[known]] = True
+    model.seen = halves[0] | halves[1]
+    for k, lang in enumerate(model.languages):
+        lacks = [1 - float((halves[1 - half[t]][codes] & known).mean()) for t, y, (codes, known, _) in zip(texts, labels, every, strict=True) if y == lang and len(codes)]
+        model.slack[k] = min(1.0, max(LEAST_SLACK, SLACK_TIMES * float(np.quantile(lacks, 1 - BEYOND)))) if lacks else 1.0
+    model.least_letters = LETTERS_PART * float(np.quantile([share for *_, share in every], BEYOND))
+
+
+def belongs(model: Model, text: str, k: int) -> bool:
+    """Whether a text has as much in common with the sample as the texts of language ``k`` have."""
+    codes, known, share = around_letters(text, model.table, model.letter)
+    n = len(codes)
+    lacks, slack = n - int((model.seen[codes] & known).sum()), model.slack[k] * n
+    # a short text may have a key, a name or an address of which the sample has no trigram
+    short = min(max(n / 4, min(n / 2, 1)), UNSEEN + slack)
+    return share >= model.least_letters and lacks <= max(slack, short)
+
+
 def fit(texts: list[str], labels: list[str], landmarks: int = 160) -> Model | None:
     kept = [(t, y) for t, y in zip(texts, labels, strict=True) if has_letter(t)]
     if not kept:
@@ -99,7 +169,9 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 160) -> Model | No
     marks = np.zeros((len(every), len(chosen)), dtype=np.float32)
     for k, i in enumerate(chosen):
         marks[place[sets[i]], k] = 1 / np.sqrt(len(sets[i]))
-    model = Model(languages, table, place, marks, np.zeros((len(chosen) + 1, len(languages))))
+    letter = np.array([chr(c).isalpha() for c in range(0x10000)] + [False])
+    model = Model(languages, table, place, marks, np.zeros((len(chosen) + 1, len(languages))), letter, np.zeros(SYMBOLS**3, dtype=bool), np.ones(len(languages)), 0.0)
+    learn_bounds(model, *map(list, zip(*kept, strict=True)))
     kernel = kernels(model, sets)
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-6 * values.max()
@@ -134,10 +206,10 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
         raw = kernel @ model.weights[:-1] + model.weights[-1]
         odds = np.exp(TEMPERATURE * (raw - raw.max(axis=1, keepdims=True)))
         share = odds.max(axis=1) / odds.sum(axis=1)
-        # a text that no language claims gets a low score even if one claims it more than the others
+        # at least 1 / languages for any text; ``belongs`` tells those that no language claims
         claim = np.clip((raw.max(axis=1) + 1) / 2, 0, 1)
         for i, k, s in zip(some, raw.argmax(axis=1).tolist(), np.minimum(share, claim).tolist(), strict=True):
-            names[i], scores[i] = model.languages[k], s
+            names[i], scores[i] = model.languages[k], s if belongs(model, texts[i], k) else 0.0
     return names, scores
 
 
