@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from tidemark import session
 from tidemark.llm import language, queries
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.near_dedup import near_copy_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pii_spans
-from tidemark.llm.simhash import simhash_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document that no learned language claims by this score is rejected. Texts unlike the labelled ones have score 0.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Near copies: fingerprints of five-word shingles. 52 of the first 64 bits alike are a similarity of 0.81; a Jaccard
-#: similarity of 0.8 gives about 39 differing bits of 256, with a standard deviation of 6.
+#: Near copies: a Jaccard similarity of five-word shingles of 0.8 or more, of pairs of which any of four 64-bit words
+#: agrees in 52 bits (a similarity of 0.81), and that word with the next in 80 of 128.
 SHINGLE, RADIUS, WORDS, VERIFY = 5, 12, 4, 48
+LEAST_JACCARD = 0.8
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies. Rows that share an id are one document."""
-    groups = simhash_groups(docs, shingle=SHINGLE, radius=RADIUS, words=WORDS, verify=VERIFY)
+    groups = near_copy_groups(docs, shingle=SHINGLE, radius=RADIUS, words=WORDS, verify=VERIFY, least=LEAST_JACCARD)
     dropped = groups.filter("doc_id <> component_id").select("doc_id")
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -44,3 +44,36 @@ def test_texts_of_few_languages_or_labels_stay(spark, learned):
     assert corpus_pipeline.identify_language(spark, frame(spark, rows), "").count() == len(rows)
     few = rows[:learned]
     assert corpus_pipeline.identify_language(spark, frame(spark, few), "").count() == len(few)
+
+
+def jaccard(a, b):
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_by_exact_similarity(spark):
+    rng = random.Random(6)
+    pairs = []
+    for size in [40] * 60 + [200] * 60 + [1000] * 40:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size + 4)]
+        # each changed word takes five shingles: similarities on both sides of 0.8
+        other = list(words)
+        for i in rng.sample(range(0, size, 5), max(1, round(size * rng.choice([0.018, 0.021, 0.026, 0.03])))):
+            other[i + 2] = "changed" + str(rng.randrange(10**6))
+        pairs.append((" ".join(words), " ".join(other)))
+    near = [jaccard(*p) >= 0.8 for p in pairs]
+    assert 40 < sum(near) < 120
+    rows = [(2 * k + i, p[i], "en") for k, p in enumerate(pairs) for i in (0, 1)]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()}
+    assert all(2 * k in kept for k in range(len(pairs)))
+    assert not [k for k, n in enumerate(near) if not n and 2 * k + 1 not in kept]
+    missed = [k for k, n in enumerate(near) if n and 2 * k + 1 in kept]
+    assert len(missed) <= 1, missed  # one of four words proposes all but about 0.1 %
+
+
+def test_rows_of_one_id_and_empty_texts(spark):
+    rng = random.Random(7)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(2))
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "en"), (9, b.upper(), "en"), (10, "", "en"), (11, " \n", "en"), (12, "x y " * 40, "en"), (13, "x y " * 400, "en")]
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect())
+    assert kept == [3, 10, 12]

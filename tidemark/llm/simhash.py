@@ -215,10 +215,10 @@ def bucket_rows(nodes: DataFrame, plan: list[tuple[list[int], int]], words: int)
     return session.arrow_map(nodes, run, "part int, value long, own boolean, node long, fp binary")
 
 
-def _links(own: np.ndarray, own_fp: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, verify: int | None):
-    """A spanning forest of the links between owners and all rows of a bucket."""
+def _links(own: np.ndarray, own_fp: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, verify: int | None, confirm=forest):
+    """A spanning forest of the links between owners and all rows of a bucket. ``confirm`` makes one of pairs."""
     a, b = [], []
-    step = max(1, PAIRS_AT_ONCE // max(1, len(node)))
+    step = max(1, (PAIRS_AT_ONCE if confirm is forest else PAIRS_AT_ONCE // 8) // max(1, len(node)))
     for i in range(0, len(own), step):
         x, y = np.nonzero(np.bitwise_count(own_fp[i : i + step, None, 0] ^ fp[None, :, 0]) <= radius)
         x += i
@@ -228,14 +228,17 @@ def _links(own: np.ndarray, own_fp: np.ndarray, node: np.ndarray, fp: np.ndarray
             near = np.bitwise_count(own_fp[x] ^ fp[y]).sum(axis=1) <= verify
             x, y = x[near], y[near]
         if len(x):
-            some = forest(own[x], node[y])
+            some = confirm(own[x], node[y])
             a.append(some[0])
             b.append(some[1])
     return forest(np.concatenate(a), np.concatenate(b)) if a else None
 
 
-def links(nodes: DataFrame, radius: int, words: int = 1, verify: int | None = None) -> DataFrame:
-    """(a, b): edges with the components of the graph that links nodes (node, fp) within ``radius``."""
+def links(nodes: DataFrame, radius: int, words: int = 1, verify: int | None = None, confirmer=None) -> DataFrame:
+    """(a, b): edges with the components of the graph that links nodes (node, fp) within ``radius``.
+
+    ``confirmer()`` is called in each task; it gives a function of pairs that makes a spanning forest of those that link.
+    """
     spark = nodes.sparkSession
     n, both = bit_counts(nodes, words)
     plan = allot(n, both, radius)
@@ -252,11 +255,12 @@ def links(nodes: DataFrame, radius: int, words: int = 1, verify: int | None = No
 
     def run(batches):
         key, held = None, []
+        confirm = confirmer() if confirmer else forest
 
         def bucket():
             own, node, fp = (np.concatenate([h[i] for h in held]) for i in range(3))
             if own.any() and len(own) > 1:
-                return _links(node[own], fp[own], node, fp, radius, verify)
+                return _links(node[own], fp[own], node, fp, radius, verify, confirm)
 
         out_a, out_b, size = [], [], 0
         for batch in batches:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -57,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    time.sleep(1)  # the files go in the background
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark context, so that Python workers can import it."""
     context = spark.sparkContext
