@@ -35,7 +35,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+=.-]{12,200})")
+SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+=.-]{12,}+)")
 #: Score of a match by kind, before context.
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "secret": 0.8}
 SPEAKS_FOR = {
