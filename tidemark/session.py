@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
+import re
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -35,13 +35,19 @@ def build(app: str = "tidemark", cores: str = "*", partitions: int = 8) -> Spark
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a local folder
-    made and registered for the rest of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local folder is made for the rest of the
+    session, but only if driver and executors are one process (a ``local`` master); else it is an error.
     """
     root = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = existing.get() if existing.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if existing.isDefined():
+            root = existing.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            root = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        else:
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         spark.conf.set(CHECKPOINT_CONF, root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
@@ -49,8 +55,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder. What is left there is removed when the driver ends."""
+    path = f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove_quietly, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the shared folder, if it is there."""
+    jvm, context = spark._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001 - the session is gone with its driver
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,13 +81,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def clear_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-    time.sleep(1)  # the files go in the background
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark context, so that Python workers can import it."""
     context = spark.sparkContext
@@ -94,4 +109,20 @@ def ship_active() -> None:
 def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Give free memory of this worker back to the machine: idle workers stay alive for a while."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library of GNU
+        pass
