@@ -54,7 +54,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash_groups(documents(spark, sf_dir))
-    return done.select("doc_id", F.lower(F.hex(F.reverse(F.col("fp")))).alias("fingerprint"), "component_id")
+    # the bytes are little-endian; F.reverse would take them for characters
+    digits = F.concat(*[F.hex(F.substring("fp", k, 1)) for k in range(8, 0, -1)])
+    return done.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
