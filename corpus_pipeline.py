@@ -19,9 +19,9 @@ from tidemark.llm.pii import pii_spans
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document that no learned language claims by this score is rejected. Texts unlike the labelled ones have score 0.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Near copies: a Jaccard similarity of five-word shingles of 0.8 or more, of pairs of which any of four 64-bit words
-#: agrees in 52 bits (a similarity of 0.81), and that word with the next in 80 of 128.
-SHINGLE, RADIUS, WORDS, VERIFY = 5, 12, 4, 48
+#: Near copies: a Jaccard similarity of five-word shingles of 0.8 or more. Fingerprints of 512 bits propose the pairs:
+#: all within 39 bits are compared, and most others (see ``tidemark.llm.near_dedup``); 128 bits may differ in 40 at most.
+SHINGLE, RADIUS, WORDS, VERIFY = 5, 39, 8, 40
 LEAST_JACCARD = 0.8
 
 
