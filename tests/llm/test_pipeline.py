@@ -1,12 +1,11 @@
 """The pipeline's stages against plain Python, and the registered queries on a small fixture."""
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute_lines, groups_of, near_texts
 from tests.llm.test_text import library
-from tidemark.llm import language, pii, queries, simhash
+from tidemark.llm import language, pii, queries
 
 COLUMNS = corpus_pipeline.COLUMNS
 
@@ -53,9 +52,13 @@ def test_stages_against_brute_force(spark, table, tmp_path):
     kept = stored(corpus_pipeline.drop_lines(spark, kept, folder), "b")
     assert by_id(kept) == want and not any("Subscribe" in r[1] for r in want)
 
-    prints = simhash.fingerprints([r[1] for r in want], corpus_pipeline.SHINGLE, corpus_pipeline.WORDS)
-    bits = lambda a, b, n: int(np.bitwise_count(prints[a][:n] ^ prints[b][:n]).sum())
-    links = [(a, b) for a in range(len(want)) for b in range(a) if bits(a, b, 1) <= corpus_pipeline.RADIUS and bits(a, b, 4) <= corpus_pipeline.VERIFY]
+    def parts(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [parts(r[1]) for r in want]
+    alike = lambda a, b: a == b or len(a & b) >= corpus_pipeline.LEAST_JACCARD * len(a | b) - 1e-9
+    links = [(a, b) for a in range(len(want)) for b in range(a) if alike(sets[a], sets[b])]
     want = [r for i, (r, g) in enumerate(zip(want, groups_of(len(want), links), strict=True)) if g == i]
     kept = stored(corpus_pipeline.drop_near_copies(spark, kept, folder), "c")
     assert by_id(kept) == want

@@ -1,7 +1,7 @@
 """Connected components of an undirected graph given as edges, by alternating large-star and small-star steps.
 
 Every step is a join and an aggregate on narrow rows; its result goes to the shared folder, so that a lost executor
-costs one step at most. Tasks first reduce the edges they hold to a spanning forest.
+costs one step at most. Columns other than a and b are ignored. Tasks first reduce the edges they hold to a spanning forest.
 
 Cases: loops and repeated edges are allowed; null ends are dropped; no edges give no rows.
 """
@@ -17,6 +17,8 @@ from tidemark import session
 
 #: Edges that a task gathers before it reduces them.
 GATHER = 500_000
+#: Into how many parts the edges of one node are dealt where they meet what moves them.
+SALTS = 8
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +64,23 @@ def local_forests(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of an edge (a, b); component is the least node that can be reached."""
+    """(node, component) for every node of an edge (a, b); component is the least node that can be reached.
+
+    A component's least node may have any number of edges. It has no smaller neighbour, so it moves nothing, and edges
+    to it need no partner: what moves is joined from a table of the nodes that do, which is dealt ``SALTS`` times.
+    """
     now = session.cut(local_forests(edges).distinct())
     seen = None
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS))
     while (mark := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != seen and mark[0]:
         seen = mark
-        # large star: every larger neighbour of a node moves to the least neighbour
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # large star: every larger neighbour of a node moves to the node's least neighbour
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        moves = least.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("b"), "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        large = session.cut(now.withColumn("salt", salt).join(moves, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
         # small star: a node's smaller neighbours, and the node, move to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        pairs = small.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = session.cut(pairs.distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        several = large.join(least.filter("n > 1").select("a", "m"), "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = session.cut(several.union(least.select("a", F.col("m").alias("b"))).distinct())
     children = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return children.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,17 +1,20 @@
-"""Near copies by the exact Jaccard similarity of shingles; SimHash only proposes the pairs.
+"""Near copies by the exact Jaccard similarity of shingles; SimHash's generalised pigeonhole proposes the pairs.
 
-Shingles are those of ``simhash``; repeats don't count. A pair is proposed if any of the 64-bit words of its
-fingerprints (of distinct shingles) differ in at most ``radius`` places, and that word with the next one in at most
-``verify`` places; it links if its shingles' Jaccard similarity is ``least`` or more. At a similarity of 0.8 one word
-proposes about four of five pairs, and all but about one in a thousand are proposed by one of four.
+Shingles are runs of ``shingle`` words, as in ``simhash``; repeats don't count. A shingle's hash is a polynomial of its
+words' hashes, from which the bits of all ``words`` 64-bit words of the fingerprint are mixed. The bits of each word are
+partitioned, and thresholds are allotted over all partitions of all words together, so that any two fingerprints within
+``radius`` bits of all meet. Beyond the radius most pairs meet as well: two texts with a similarity of 0.8 differ in
+0.15 of the bits and meet in one of 40 partitions of 13 bits with a probability of 0.994, with one of 0.85 in 0.9996.
+What meets is compared on two further words (at most ``verify`` of 128 bits; a similarity of 0.8 stays below it but for
+one pair in a million) and then by the shingles themselves: pairs link if the Jaccard similarity is ``least`` or more.
 
 Each slice's shingle hashes (32 bits, so that two texts of n shingles have n**2 / 2**32 false matches) go to a file in
 the shared folder; a node's number tells the file and the place. Texts of equal shingles are one node. Tasks compare the
-pairs of a bucket that aren't connected yet, and hand on a spanning forest. Words are taken in turn, and the rows that
-were dealt for one are cleared before the next.
+pairs of a bucket that aren't connected yet, and hand on a spanning forest.
 
 Cases: null, empty and white-space-only texts have no shingles and are one node; fewer words than a shingle make one
-shingle; rows that share an id are one document; a null id takes no part in component_id; other columns are ignored.
+shingle; rows that share an id are one document; a null id takes no part in component_id; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,27 +31,81 @@ from pyspark.sql import functions as F
 from tidemark import session
 from tidemark.llm.common import body, filesystem, slices, write_file
 from tidemark.llm.components import components
-from tidemark.llm.simhash import BITS, hashes, links, shingles
+from tidemark.llm.simhash import links
 
 #: A node's number: the partition, its slice and the place in four-byte units.
 SLICE_BITS, PLACE_BITS = 12, 31
 #: Open files, and shingle hashes that are kept, of a task.
 OPEN_FILES, KEPT_HASHES = 64, 4 << 20
-#: Pairs that are compared before those that became connected are dropped.
-PAIRS_IN_TURN = 1024
-#: Pairs that are sorted at once, and entries of a task's table of links, which is emptied beyond that.
-PAIRS_HELD, MOST_PARENTS = 1 << 16, 500_000
-
-
-def print_and_set(text: str | None, size: int, words: int) -> tuple[bytes, np.ndarray]:
-    """The fingerprint of the distinct shingles, and their sorted 32-bit hashes."""
-    parts = list(dict.fromkeys(shingles(text, size)))
-    if not parts:
-        return bytes(8 * words), np.zeros(0, dtype="<u4")
-    made = np.ascontiguousarray(hashes(parts, words))
-    got = made.view(np.uint8).reshape(len(parts), -1)
-    ones = np.concatenate([np.bincount(got[:, c], minlength=256) @ BITS for c in range(got.shape[1])])
-    return np.packbits(ones * 2 > len(parts), bitorder="little").tobytes(), np.unique(made[:, 0].astype("<u4"))
+#: Hashes of words that a task keeps, and shingles whose bits are counted at once.
+KEPT_WORDS, COUNTED_AT_ONCE = 200_000, 1 << 16
+LANES = np.uint64(0x0101010101010101)
+MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        made = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 32:
+            self[word] = made
+        return made
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, size: int, known: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    words = (text or "").encode().lower().split()  # at exactly the six ASCII white-space characters
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    h = np.array(list(map(known.__getitem__, words)), dtype=np.uint64)
+    if len(h) < size:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], dtype=np.uint64)
+    n, total = len(h) - size + 1, np.zeros(len(h) - size + 1, dtype=np.uint64)
+    for k in range(size):
+        total = total * STEP + h[k : k + n]
+    return np.unique(_mix(total))
+
+
+def prints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """(texts, words) fingerprints: bit b is set if it is in over half of a set's hashes, once mixed for each word."""
+    sizes = np.array([len(x) for x in sets])
+    out = np.zeros((len(sets), words), dtype=np.uint64)
+    held, at = [], 0
+    some = np.flatnonzero(sizes)
+    while at < len(some):
+        # as many texts as there are shingles counted at once, one at least
+        ends = np.cumsum(sizes[some[at:]])
+        n = max(1, int(np.searchsorted(ends, COUNTED_AT_ONCE, side="right")))
+        held = some[at : at + n]
+        out[held] = _majority([sets[i] for i in held], words)
+        at += n
+    return out
+
+
+def _majority(sets: list[np.ndarray], words: int) -> np.ndarray:
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    # runs of at most 255 rows of one text, so that a byte holds the count of a bit
+    runs = [np.arange(start, start + size, 255) for start, size in zip(np.cumsum(sizes) - sizes, sizes, strict=True)]
+    first = np.cumsum([0, *map(len, runs)][:-1])
+    starts = np.concatenate(runs)
+    out = np.empty((len(sets), words), dtype=np.uint64)
+    for w in range(words):
+        mixed = _mix(flat + np.uint64((0x9E3779B97F4A7C15 * (w + 1)) & ((1 << 64) - 1)))
+        ones = np.empty((len(sets), 8, 8), dtype=np.int64)  # byte of the word, bit of the byte
+        for bit in range(8):
+            lanes = np.add.reduceat((mixed >> np.uint64(bit)) & LANES, starts)
+            ones[:, :, bit] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        out[:, w] = np.packbits(ones.reshape(len(sets), 64) * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
 def _path(folder: str, node: int) -> str:
@@ -60,21 +117,21 @@ def print_rows(docs: DataFrame, id_col: str, text_col: str, size: int, words: in
     """(doc_id, fp, key, node): key is the same for equal shingles; the shingles are in the node's file."""
 
     def run(batches):
-        part = TaskContext.get().partitionId()
+        part, known = TaskContext.get().partitionId(), WordHashes()
         for k, rows in enumerate(slices(batches, "text")):
             if k >> SLICE_BITS:
                 raise ValueError("a partition has too many slices; use more partitions")
-            prints, keys, places, out, at = [], [], [], [], 0
-            for text in rows.column("text").to_pylist():
-                fp, some = print_and_set(text, size, words)
-                data = some.tobytes()
-                prints.append(fp)
-                keys.append(xxhash.xxh3_128_digest(data))
+            sets = [shingle_hashes(t, size, known) for t in rows.column("text").to_pylist()]
+            keys, places, out, at = [], [], [], 0
+            for some in sets:
+                keys.append(xxhash.xxh3_128_digest(some.tobytes()))
                 places.append(((part << SLICE_BITS | k) << PLACE_BITS) | at)
-                out += [np.array([len(some)], dtype="<u4").tobytes(), data]
-                at += 1 + len(some)
+                short = np.unique(some.astype("<u4"))
+                out += [np.array([len(short)], dtype="<u4").tobytes(), short.tobytes()]
+                at += 1 + len(short)
             write_file(_path(folder, places[0]), b"".join(out))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.int64())], names=["doc_id", "fp", "key", "node"])
+            made = pa.array([x.tobytes() for x in prints(sets, words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), made, pa.array(keys, pa.binary()), pa.array(places, pa.int64())], names=["doc_id", "fp", "key", "node"])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), body(text_col).alias("text"))
     return session.arrow_map(texts, run, "doc_id long, fp binary, key binary, node long")
@@ -84,7 +141,7 @@ class Sets:
     """The shingle hashes of nodes, read from the shared folder; the last ones are kept."""
 
     def __init__(self, folder: str):
-        self.folder, self.files, self.kept, self.size, self.parent = folder, OrderedDict(), OrderedDict(), 0, {}
+        self.folder, self.files, self.kept, self.size = folder, OrderedDict(), OrderedDict(), 0
 
     def _file(self, node: int):
         path = _path(self.folder, node)
@@ -114,58 +171,25 @@ class Sets:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= least * (len(x) + len(y) - both) - 1e-9
 
-    def _root(self, node: int) -> int:
-        while (up := self.parent.get(node, node)) != node:
-            self.parent[node] = self.parent.get(up, up)
-            node = up
-        return node
-
-    def links(self, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of the pairs that are alike and that this task's earlier links don't connect."""
-        if len(self.parent) > MOST_PARENTS:
-            self.parent.clear()
-        out_a, out_b = [], []
-        for i in range(0, len(a), PAIRS_HELD):
-            nodes, ends = np.unique(np.concatenate([a[i : i + PAIRS_HELD], b[i : i + PAIRS_HELD]]), return_inverse=True)
-            names, n = nodes.tolist(), len(nodes)
-            half = len(ends) // 2
-            codes = np.unique(np.minimum(ends[:half], ends[half:]) * n + np.maximum(ends[:half], ends[half:]))
-            x, y = codes // n, codes % n
-            while len(x):
-                _, label = np.unique(np.array([self._root(v) for v in names], dtype=np.int64), return_inverse=True)
-                apart = label[x] != label[y]
-                x, y = x[apart], y[apart]
-                for j, k in zip(x[:PAIRS_IN_TURN].tolist(), y[:PAIRS_IN_TURN].tolist(), strict=True):
-                    low, high = sorted((self._root(names[j]), self._root(names[k])))
-                    if low != high and self.alike(names[j], names[k], least):
-                        self.parent[high] = low
-                        out_a.append(high)
-                        out_b.append(low)
-                x, y = x[PAIRS_IN_TURN:], y[PAIRS_IN_TURN:]
-        return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
-
-
-def _word_links(nodes: DataFrame, k: int, words: int, radius: int, verify: int, least: float, folder: str) -> DataFrame:
-    """Links that word ``k`` proposes."""
-    two = [F.substring("fp", 8 * (i % words) + 1, 8) for i in dict.fromkeys((k % words, (k + 1) % words))]
-    turned = session.cut(nodes.select("node", F.concat(*two).alias("fp")))
-    made = links(turned, radius, len(two), verify, lambda: lambda a, b, held=Sets(folder): held.links(a, b, least))
-    return session.cut(made)
-
-
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 12, words: int = 4, verify: int = 48, least: float = 0.8) -> DataFrame:
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 39, words: int = 8, verify: int = 40, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id), one row for each row of ``docs``."""
     spark = docs.sparkSession
     folder = session.shared_path(spark, "shingles")
     rows = session.cut(print_rows(docs, id_col, text_col, shingle, words, folder))
     nodes = session.cut(rows.groupBy("key").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min("doc_id").alias("least_id")))
     of = session.cut(rows.select("doc_id", "key").join(nodes.select("key", "node"), "key").select("doc_id", "node"))
+    # the words compared first are not that of the partition, whose bits agree anyway
+    shown = {w: [(w + 1) % words, (w + 2) % words] for w in range(words)}
+
+    def alike():
+        held = Sets(folder)
+        return lambda a, b: held.alike(a, b, least)
+
+    found = session.cut(links(nodes, radius, words, verify, planned=words, shown=shown, alike=alike))
+    session.remove(spark, folder)
     shared = of.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c")
-    edges = of.join(shared, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
-    for k in range(words):
-        edges = edges.union(_word_links(nodes, k, words, radius, verify, least, folder))
-        session.clear_shuffles(spark)
-    found = components(edges)
-    groups = nodes.join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    edges = of.join(shared, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").union(found)
+    groups = nodes.join(components(edges), "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least_ids = groups.groupBy("component").agg(F.min("least_id").alias("component_id"))
     return of.join(groups.join(least_ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
