@@ -58,12 +58,38 @@ def test_equal_slots_with_other_texts_are_told_apart(spark, monkeypatch):
 def test_directory_splits_overfull_buckets(spark):
     from pyspark.sql import functions as F
 
-    slots = spark.range(1000).select(F.xxhash64("id").alias("k"))
-    rows = exact_dedup.directory(slots, 50).collect()
-    depth = {r.prefix: (r.bucket, r.depth) for r in rows}
-    sizes = Counter(depth[(r.k & ((1 << 64) - 1)) >> 48][0] for r in slots.collect())
+    keys = spark.range(1000).select(F.xxhash64("id").alias("k"))
+    depth, slots = exact_dedup.directory(keys, 50)
+    rows = {r.slot: (r.bucket, r.depth) for r in slots.collect()}
+    assert len(rows) == 1 << depth
+    bits = (1000 // 50).bit_length() + 4
+    sizes = Counter(rows[(r.k & ((1 << 64) - 1)) >> (64 - depth)] for r in keys.collect())
     assert max(sizes.values()) <= 50 and len(sizes) > 16
-    assert all(p >> (16 - d) << (16 - d) == b for p, (b, d) in depth.items())
+    for slot, (bucket, d) in rows.items():
+        assert slot >> (depth - d) << (bits - d) == bucket
+    # a bucket that isn't overfull keeps its depth while the directory doubles around it
+    assert exact_dedup.grow({0: 9, 1: 1, 12: 3}, 4, 5) == (4, [(0, 4), (1, 4), (2, 3), (2, 3), *[(4, 2)] * 4, *[(8, 1)] * 8])
+    assert exact_dedup.grow({3: 100}, 3, 5)[0] == 3  # no bit is left to split on
+
+
+def test_a_bucket_file_that_is_lost_is_an_error(spark, monkeypatch):
+    from pathlib import Path
+
+    real = exact_dedup.write_buckets
+
+    def lose(entries):
+        index = real(entries)
+        files = {r.f for r in index.selectExpr("input_file_name() AS f").collect()}
+        Path(sorted(files)[0].removeprefix("file:").replace("///", "/")).unlink()
+        spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+        return index
+
+    monkeypatch.setattr(exact_dedup, "write_buckets", lose)
+    try:
+        with pytest.raises(Exception, match="has no entry"):
+            exact_dedup.exact_dedup(frame(spark, [(i, f"text {i}") for i in range(200)]), bucket_capacity=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
 
 
 def brute_lines(rows, least):
@@ -123,7 +149,7 @@ def brute_fingerprint(text, k=3):
 
 @pytest.mark.parametrize("radius", [0, 2, 5])
 def test_simhash_against_brute_force(spark, radius, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_OWNERS", 20)  # so that buckets are cut into blocks
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)  # so that buckets are cut into blocks
     texts = near_texts(3, 250) + [None, "", " \n", "A\x0bB", "a b", "a b", "y" * 200_000, "z z"]
     prints = [brute_fingerprint(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius]
@@ -150,8 +176,8 @@ def test_thresholds_obey_the_generalised_pigeonhole(radius):
     both = x.T @ x
     for n in (500, 10**7, 10**10):
         plan = simhash.allot(n, both, radius)
-        assert sum(t + 1 for _, t in plan) == radius + 1
-        bits = [b for g, _ in plan for b in g]
+        assert sum(t + 1 for _, _, t in plan) == radius + 1
+        bits = [b for _, g, _ in plan for b in g]
         assert len(bits) == len(set(bits))
 
 
