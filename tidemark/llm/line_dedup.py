@@ -3,9 +3,10 @@ r"""Line deduplication: a sharded minimal perfect hash over distinct line hashes
 A line's key is the line without ``[\x20\x09-\x0D]`` at its ends and with A-Z in lower case; its hash is 128 bits. Tasks
 count, for each hash, the documents that hold it (once a document, combined before the shuffle). Hashes of lines that
 recur go to shards; one task builds each shard's minimal perfect hash and the two arrays it indexes, the fingerprint (the
-other 64 bits) and the count, and writes them as one file to the shared folder. Lines of a single document are not
-indexed: they can't be dropped, and a probe of one ends at a fingerprint that differs. Documents probe the mapped
-arrays; lines are never joined.
+other 64 bits) and the count, and writes them as one file to the shared folder. Lines of fewer documents than the least
+number are not indexed: they can't be dropped, and a probe of one ends at a fingerprint that differs. Documents probe the
+mapped arrays; lines are never joined. Every shard has a file, also one without lines, that begins with its own size: a
+shard that is missing or cut short is an error.
 
 Cases: a null or empty text is one empty line; an empty key is never dropped (fewer code points than ``min_chars``); a
 document whose lines all go keeps the empty text; a line repeated within one document counts once for it; equal rows
@@ -16,7 +17,7 @@ n_lines and n_dropped hold the result.
 from __future__ import annotations
 
 import struct
-from collections import Counter
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from tidemark.llm.common import map_file, map_texts, slices, write_file
 SHARD_KEYS = 250_000
 #: Distinct hashes that a task counts before it hands them on.
 FLUSH_KEYS = 200_000
+#: Bytes of shards that a worker keeps, and what a mapped one counts for.
+KEPT_BYTES, MAPPED_COST = 128 << 20, 64 << 10
 LEVELS = 40
 GAMMA = 1.6
 LEAST = 2
@@ -81,6 +84,10 @@ def _spread(h1: np.ndarray, level: int, bits: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) % np.uint64(bits)
 
 
+#: A shard's file begins with a mark, its own size, and the sizes of its parts.
+MAGIC, HEAD = 0x6D70682D6C696E65, f"<6q{LEVELS}q"
+
+
 def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> bytes:
     """The shard's file. Keys with equal h1 can't be told apart by levels; they go to the explicit tail."""
     h1, h2 = h1.astype(np.uint64), h2.astype(np.uint64)
@@ -104,17 +111,20 @@ def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> bytes:
     words = np.concatenate(levels) if levels else np.zeros(0, np.uint64)
     ranks = np.zeros(len(words) + 1, dtype=np.uint64)
     ranks[1:] = np.cumsum(np.bitwise_count(words))
-    head = struct.pack(f"<4q{LEVELS}q", len(words), base, len(left), len(levels), *[len(x) for x in levels], *[0] * (LEVELS - len(levels)))
     tail = [h1[left], h2[left], counts[left].astype(np.uint64)]
-    return head + b"".join(x.tobytes() for x in (words, ranks, prints, *tail, sums))
+    rest = b"".join(x.tobytes() for x in (words, ranks, prints, *tail, sums))
+    return struct.pack(HEAD, MAGIC, struct.calcsize(HEAD) + len(rest), len(words), base, len(left), len(levels), *[len(x) for x in levels], *[0] * (LEVELS - len(levels))) + rest
 
 
 class Shard:
     """A shard's file, mapped; ``count`` looks up many hashes at once."""
 
     def __init__(self, data):
-        words, n, tail, levels, *sizes = struct.unpack_from(f"<4q{LEVELS}q", data)
-        self.sizes, at = sizes[:levels], 8 * (4 + LEVELS)
+        at = struct.calcsize(HEAD)
+        magic, size, words, n, tail, levels, *sizes = struct.unpack_from(HEAD, data) if len(data) >= at else [0] * (6 + LEVELS)
+        if magic != MAGIC or size != len(data):
+            raise ValueError("a shard's file is damaged")
+        self.sizes = sizes[:levels]
         parts = []
         for size, kind in ((words, "<u8"), (words + 1, "<u8"), (n, "<u8"), (tail, "<u8"), (tail, "<u8"), (tail, "<u8"), (n, "<u4")):
             parts.append(np.frombuffer(data, dtype=kind, count=size, offset=at))
@@ -152,29 +162,33 @@ def build_index(counts: DataFrame, folder: str) -> int:
         got = np.concatenate(rows, axis=1) if rows else np.zeros((3, 0), np.int64)
         shard = got[1].astype(np.uint64) % np.uint64(shards)
         for s in np.unique(shard).tolist():
-            h1, h2, n = got[:, shard == s]
+            h1, h2, n = got[:, (shard == s)]
+            h1, h2, n = h1[n > 0], h2[n > 0], n[n > 0]
             write_file(f"{folder}/shard-{s}", build_shard(h1, h2, n))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], names=["shard"])
 
     # h2 mod the number of shards, as an unsigned number
     shard = F.expr(f"pmod(pmod(h2, {shards}L) + IF(h2 < 0, {(1 << 64) % shards}L, 0L), {shards}L)")
-    dealt = counts.select("h1", "h2", "n").repartition(shards, shard)
+    # a row without a count for each shard, so that each has a file
+    marks = counts.sparkSession.range(shards).select(F.lit(0).cast("long").alias("h1"), F.col("id").alias("h2"), F.lit(0).cast("long").alias("n"))
+    dealt = counts.select("h1", "h2", "n").union(marks).repartition(shards, shard)
     session.arrow_map(dealt, run, "shard long").write.format("noop").mode("overwrite").save()
     return shards
 
 
-_shards: dict[str, Shard | None] = {}
+_shards: OrderedDict[str, Shard] = OrderedDict()
 
 
-def _shard(folder: str, s: int) -> Shard | None:
-    if len(_shards) > 4096:
-        _shards.clear()
-    if (path := f"{folder}/shard-{s}") not in _shards:
-        try:
-            _shards[path] = Shard(map_file(path))
-        except FileNotFoundError:  # no key fell into it
-            _shards[path] = None
-    return _shards[path]
+def _shard(folder: str, s: int) -> Shard:
+    """The shard, mapped, or read where the folder isn't mounted; the shards read last are kept, up to a bound of bytes."""
+    path = f"{folder}/shard-{s}"
+    if (found := _shards.pop(path, None)) is None:
+        found = Shard(data := map_file(path))
+        found.held = len(data) if isinstance(data, bytes) else MAPPED_COST
+        while _shards and sum(x.held for x in _shards.values()) + found.held > KEPT_BYTES:
+            _shards.popitem(last=False)
+    _shards[path] = found
+    return found
 
 
 def probe(texts: list[str | None], folder: str, shards: int, min_docs: int, min_chars: int) -> list[list]:
@@ -186,8 +200,7 @@ def probe(texts: list[str | None], folder: str, shards: int, min_docs: int, min_
     counts, of = np.zeros(len(every), dtype=np.int64), h2 % np.uint64(shards)
     order = np.argsort(of, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
-        if (found := _shard(folder, int(of[part[0]]))) is not None:
-            counts[part] = found.count(h1[part], h2[part])
+        counts[part] = _shard(folder, int(of[part[0]])).count(h1[part], h2[part])
     drop = (counts >= min_docs).tolist()
     if min_docs <= 1:
         drop = [True] * len(every)
@@ -205,7 +218,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     """``docs`` with the kept text in ``text_col``, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession
     folder = session.shared_path(spark, "line-hash")
-    counts = count_lines(docs, text_col, max(1, min_chars)).filter(F.col("n") >= LEAST)
+    counts = count_lines(docs, text_col, max(1, min_chars)).filter(F.col("n") >= max(LEAST, min_docs))
     shards = build_index(counts, folder)
     chars = max(1, min_chars)
     fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
