@@ -5,8 +5,8 @@ root of the product of their numbers of n-grams. Landmarks from a bounded, strat
 Nyström feature space; one-versus-rest kernel ridge regression is solved in it. Texts are scored in batches: a matrix
 of presences times the landmarks' presences gives the kernel rows, times the coefficients the scores. Whole texts count.
 
-Symbols: the ``LETTERS`` most frequent letters of the sample in lower case have one each; white space, digits and all else
-share three. Parameters of the sample: ``per_language`` rows for each label (by hash of the id), of at most ``max_chars``
+Symbols: every letter in lower case, of any script, has its own; white space, digits and all else share three. The n-grams
+are hashed into a table of ``COLUMNS`` columns. Parameters of the sample: ``per_language`` rows for each label (by hash of the id), of at most ``max_chars``
 characters where there are such rows.
 
 The raw scores of a text sum to 2 - languages, so the largest alone can't tell a foreign text: it never falls below a
@@ -22,6 +22,8 @@ like a result.
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,11 +35,15 @@ from pyspark.sql import types as T
 from tidemark.llm.common import map_texts
 
 UNDETERMINED = "und"
-LETTERS = 61
-SPACE, DIGIT, OTHER = 0, 1, 2
-SYMBOLS = LETTERS + 3
-#: Where the codes of one-, two- and three-grams begin.
-BASES = (0, SYMBOLS, SYMBOLS + SYMBOLS**2, SYMBOLS + SYMBOLS**2 + SYMBOLS**3)
+SPACE, DIGIT, OTHER, FIRST = 0, 1, 2, 3
+#: No code point beyond this one is a letter: the planes above have none.
+LAST_LETTER = 0x3FFFF
+#: Columns that n-grams are hashed into, and cells of the table of trigrams that are in the sample, as powers of two.
+COLUMN_BITS, SEEN_BITS = 18, 22
+COLUMNS = 1 << COLUMN_BITS
+#: Odd multipliers of the symbols of an n-gram by place, and of one-, two- and three-grams.
+PLACES = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
+KINDS = [np.uint32(x) for x in (0x27D4EB2F, 0x165667B1, 0xD3A2646D)]
 RIDGE, TEMPERATURE = 1e-2, 4.0
 #: Share of unseen trigrams that any text may have, and times the share that held-out texts of its language have.
 LEAST_SLACK, SLACK_TIMES = 0.05, 3.0
@@ -52,62 +58,59 @@ BEYOND = 0.005
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # code point -> symbol
-    place: np.ndarray  # n-gram code -> column, or -1
-    landmarks: np.ndarray  # (columns, landmarks): presence over the root of the landmark's number of n-grams
+    place: np.ndarray  # column of an n-gram -> row of the landmarks, or -1
+    landmarks: np.ndarray  # (rows, landmarks): presence over the root of the landmark's number of n-grams
     weights: np.ndarray  # (landmarks + 1, languages)
-    letter: np.ndarray  # code point -> is a letter
     seen: np.ndarray  # trigram around a letter -> is in the sample
     slack: np.ndarray  # share of unseen trigrams that a text may have, by language
     least_letters: float  # share of letters among characters that a text must have
 
 
-def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return table[np.minimum(points, len(table) - 1)].astype(np.int32)
+@functools.cache
+def symbol_table() -> np.ndarray:
+    """Code point -> symbol."""
+    table = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint32)
+    every = "".join(map(chr, range(LAST_LETTER + 1)))
+    for code, c in enumerate(every):
+        if c.isalpha():
+            table[code] = FIRST + code
+        elif c.isspace():
+            table[code] = SPACE
+        elif c.isdigit():
+            table[code] = DIGIT
+    return table
 
 
-def grams(text: str, table: np.ndarray) -> np.ndarray:
-    """Distinct codes of the n-grams of a text."""
-    s = symbols(text, table)
-    seen = np.zeros(BASES[3], dtype=bool)
-    seen[s] = True
-    if len(s) > 1:
-        two = s[:-1] * SYMBOLS + s[1:]
-        seen[BASES[1] + two] = True
-        if len(s) > 2:
-            seen[BASES[2] + two[:-1] * SYMBOLS + s[2:]] = True
-    return np.flatnonzero(seen)
+def symbols(text: str) -> np.ndarray:
+    return symbol_table()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(map(str.isalpha, text))
+def grams(text: str) -> np.ndarray:
+    """Distinct columns of the n-grams of a text."""
+    s = symbols(text)
+    seen, shift = np.zeros(COLUMNS, dtype=bool), np.uint32(32 - COLUMN_BITS)
+    sums = s * PLACES[0]
+    for n in range(3):
+        seen[(sums * KINDS[n] + KINDS[n]) >> shift] = True
+        if n == 2 or len(s) <= n + 1:
+            break
+        sums = sums[:-1] + s[n + 1 :] * PLACES[n + 1]
+    eights = np.flatnonzero(seen.view(np.uint64))  # most of the table is empty: look closer only where it isn't
+    row, at = np.nonzero(seen.reshape(-1, 8)[eights])
+    return eights[row] * 8 + at
 
 
-def letter_table(texts: list[str]) -> np.ndarray:
-    counts = Counter()
-    for t in texts:
-        counts.update(t.lower())
-    letters = sorted((c for c in counts if c.isalpha() and ord(c) < 0x10000), key=lambda c: (-counts[c], c))[:LETTERS]
-    table = np.full(0x10001, OTHER, dtype=np.uint8)
-    for code in range(0x10000):
-        c = chr(code)
-        if c.isspace():
-            table[code] = SPACE
-        elif c.isdigit():
-            table[code] = DIGIT
-    for k, c in enumerate(sorted(letters)):
-        table[ord(c)] = 3 + k
-    return table
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
-def around_letters(text: str, table: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Distinct trigrams around letters, whether the letter has a symbol, and the share of letters among the characters.
+def around_letters(text: str) -> tuple[np.ndarray, float]:
+    """Distinct trigrams around letters, and the share of letters among the characters.
 
     Runs of letters and digits that change between them three times or more, such as keys, count as one space.
     """
-    points = np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4"), len(table) - 1)
-    s, is_letter = table[points].astype(np.int32), letter[points]
+    s = symbols(text)
+    is_letter = s >= FIRST
     share = is_letter.sum() / max(1, (s != SPACE).sum())
     if (digit := s == DIGIT).any():
         part = is_letter | digit
@@ -117,37 +120,37 @@ def around_letters(text: str, table: np.ndarray, letter: np.ndarray) -> tuple[np
         mixed = np.add.reduceat(change, starts) >= 3
         run = np.cumsum(np.bincount(starts, minlength=len(s))) - 1
         is_letter = is_letter & ~(part & mixed[np.maximum(run, 0)])
-    s = np.concatenate([[SPACE], np.where(is_letter, s, SPACE), [SPACE]])
+    s = np.concatenate([[SPACE], np.where(is_letter, s, SPACE), [SPACE]]).astype(np.uint32)
     s = s[np.concatenate([[True], (s[1:] != SPACE) | (s[:-1] != SPACE)])]
     middle = np.flatnonzero(s != SPACE)
-    codes = np.unique((s[middle - 1] * SYMBOLS + s[middle]) * SYMBOLS + s[middle + 1])
-    return codes, codes // SYMBOLS % SYMBOLS != OTHER, float(share)
+    sums = s[middle - 1] * PLACES[0] + s[middle] * PLACES[1] + s[middle + 1] * PLACES[2]
+    return np.unique((sums * KINDS[2]) >> np.uint32(32 - SEEN_BITS)), float(share)
 
 
 def learn_bounds(model: Model, texts: list[str], labels: list[str]) -> None:
     """Set what a text of a learned language has in common with the sample."""
-    every = [around_letters(t, model.table, model.letter) for t in texts]
-    halves = [np.zeros(SYMBOLS**3, dtype=bool) for _ in range(2)]
+    every = [around_letters(t) for t in texts]
+    halves = [np.zeros(1 << SEEN_BITS, dtype=bool) for _ in range(2)]
     # the halves are dealt within each language; equal texts stay in one half
     turn, half = Counter(), {}
     for t, y in zip(texts, labels, strict=True):
         if t not in half:
             half[t] = turn[y] % 2
             turn[y] += 1
-    for t, (codes, known, _) in zip(texts, every, strict=True):
-        halves[half[t]][codes[known]] = True
+    for t, (codes, _) in zip(texts, every, strict=True):
+        halves[half[t]][codes] = True
     model.seen = halves[0] | halves[1]
     for k, lang in enumerate(model.languages):
-        lacks = [1 - float((halves[1 - half[t]][codes] & known).mean()) for t, y, (codes, known, _) in zip(texts, labels, every, strict=True) if y == lang and len(codes)]
+        lacks = [1 - float(halves[1 - half[t]][codes].mean()) for t, y, (codes, _) in zip(texts, labels, every, strict=True) if y == lang and len(codes)]
         model.slack[k] = min(1.0, max(LEAST_SLACK, SLACK_TIMES * float(np.quantile(lacks, 1 - BEYOND)))) if lacks else 1.0
     model.least_letters = LETTERS_PART * float(np.quantile([share for *_, share in every], BEYOND))
 
 
 def belongs(model: Model, text: str, k: int) -> bool:
     """Whether a text has as much in common with the sample as the texts of language ``k`` have."""
-    codes, known, share = around_letters(text, model.table, model.letter)
+    codes, share = around_letters(text)
     n = len(codes)
-    lacks, slack = n - int((model.seen[codes] & known).sum()), model.slack[k] * n
+    lacks, slack = n - int(model.seen[codes].sum()), model.slack[k] * n
     # a short text may have a key, a name or an address of which the sample has no trigram
     short = min(max(n / 4, min(n / 2, 1)), UNSEEN + slack)
     return share >= model.least_letters and lacks <= max(slack, short)
@@ -158,19 +161,17 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 160) -> Model | No
     if not kept:
         return None
     languages = sorted({y for _, y in kept})
-    table = letter_table([t for t, _ in kept])
-    sets = [grams(t, table) for t, _ in kept]
+    sets = [grams(t) for t, _ in kept]
     # landmarks in turn from each language, in the order of the sample
     queues = [[i for i, (_, y) in enumerate(kept) if y == lang] for lang in languages]
     chosen = [q[k] for k in range(max(map(len, queues))) for q in queues if k < len(q)][:landmarks]
-    place = np.full(BASES[3], -1, dtype=np.int32)
+    place = np.full(COLUMNS, -1, dtype=np.int32)
     every = np.unique(np.concatenate([sets[i] for i in chosen]))
     place[every] = np.arange(len(every))
     marks = np.zeros((len(every), len(chosen)), dtype=np.float32)
     for k, i in enumerate(chosen):
         marks[place[sets[i]], k] = 1 / np.sqrt(len(sets[i]))
-    letter = np.array([chr(c).isalpha() for c in range(0x10000)] + [False])
-    model = Model(languages, table, place, marks, np.zeros((len(chosen) + 1, len(languages))), letter, np.zeros(SYMBOLS**3, dtype=bool), np.ones(len(languages)), 0.0)
+    model = Model(languages, place, marks, np.zeros((len(chosen) + 1, len(languages))), np.zeros(0, dtype=bool), np.ones(len(languages)), 0.0)
     learn_bounds(model, *map(list, zip(*kept, strict=True)))
     kernel = kernels(model, sets)
     values, vectors = np.linalg.eigh(kernel[chosen])
@@ -202,7 +203,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     asked = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
     for start in range(0, len(asked), 256):
         some = asked[start : start + 256]
-        kernel = kernels(model, [grams(texts[i], model.table) for i in some])
+        kernel = kernels(model, [grams(texts[i]) for i in some])
         raw = kernel @ model.weights[:-1] + model.weights[-1]
         odds = np.exp(TEMPERATURE * (raw - raw.max(axis=1, keepdims=True)))
         share = odds.max(axis=1) / odds.sum(axis=1)
@@ -214,12 +215,15 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_chars: int, max_labels: int = 200):
-    """About ``per_label`` rows for each of the most frequent labels: those with the least hashes of the id.
+    """About ``per_label`` rows for each label: those with the least hashes of the id.
 
-    Counts cover all rows; what comes to the driver is bounded by ``per_label``, ``max_labels`` and ``max_chars``.
+    Counts cover all rows; what comes to the driver is bounded by ``per_label``, ``max_labels`` and ``max_chars``. More
+    labels than ``max_labels`` are an error: none is left out.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") <= max_chars).alias("short")).orderBy(F.desc("n"), "label").limit(max_labels).collect()
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") <= max_chars).alias("short")).orderBy(F.desc("n"), "label").limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels; raise max_labels, or train on some of them")
     if not counts:
         return [], []
     part = F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
