@@ -1,7 +1,7 @@
 r"""Byte-level BPE through a minimal acyclic transducer of frequent words.
 
-All texts are counted (each task with a lossy counter of fixed size), and the most frequent words are compiled into a
-minimal acyclic automaton: states with equal futures are shared, and each arc knows how many words come before those
+All texts are counted (each task with a lossy counter of fixed size), and about the most frequent words, those above a
+bound on their counts that a histogram gives, are compiled into a minimal acyclic automaton: states with equal futures are shared, and each arc knows how many words come before those
 beyond it, so that walking a word gives its number and with it its ids. The automaton and its ids are one file in the
 shared folder, memory-mapped by the workers. A word that isn't in it is merged by the vocabulary's ranks, so the lexicon
 only affects speed. Decoding joins the bytes of the ids.
@@ -210,8 +210,16 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, text_col: str, vocabulary: Vocabulary, size: int = LEXICON_WORDS) -> str:
-    """Count, compile and write the lexicon; returns its place. What comes to the driver is ``size`` words at most."""
-    top = count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    """Count, compile and write the lexicon; returns its place. What comes to the driver is ``size`` words at most in all."""
+    counts = session.cut(count_words(docs, text_col))
+    # sixteen classes of counts for each power of two: a few hundred rows, whatever the size of the corpus
+    level = F.floor(F.log2("n") * 16)
+    least, above = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if (above := above + r["count"]) > size:
+            break
+        least = r.level
+    top = [] if least is None else counts.filter(level >= least).select("word").collect()
     words = sorted(r.word.encode() for r in top)
     path = session.shared_path(docs.sparkSession, "lexicon")
     write_file(path, compile_lexicon(words, [vocabulary.merge(w) for w in words]))
