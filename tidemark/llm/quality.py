@@ -6,7 +6,7 @@ weighted by line length, put through a logistic curve fitted to the training lab
 
 Only documents are labelled. Training starts with all lines of a document carrying its label, then relabels once: lines of
 bad documents that the model holds good become good, save the worst one. The sample is bounded by ``per_label`` documents
-of each label (by hash of the id), of at most ``max_chars`` characters where there are such.
+of each label (by hash of the id), of at most ``max_chars`` characters where the label has such.
 
 Cases: null counts as empty; a text without lines is one empty line and is scored like any other; very long texts take
 time in proportion; without labels all scores are 0.5; equal texts get equal scores; other columns pass through, except
@@ -15,6 +15,7 @@ those named like a result.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,19 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import session
 from tidemark.llm.common import map_texts
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
 MARKS = b"!\"#$%&*+/:;<=>?@[\\]^_`{|}~"
 FEATURES = 10
+BLOCK_LINES = 16_384
 CELLS = 400_000  # (lines x documents) of a padded block
 THRESHOLD = 0.3
 
 
-def line_features(text: str | None) -> tuple[list[tuple], list[int]]:
-    """Features of each line, and its length in bytes."""
-    out, sizes, before = [], [], None
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each line, and its length in bytes. Blocks of lines become arrays, which are a tenth the size."""
+    blocks, out, sizes, before = [], [], array("q"), None
     for line in (text or "").encode().split(b"\n"):
         n = len(line)
         words = line.split()
@@ -56,7 +59,10 @@ def line_features(text: str | None) -> tuple[list[tuple], list[int]]:
         )
         sizes.append(n + 1)
         before = line
-    return out, sizes
+        if len(out) == BLOCK_LINES:
+            blocks.append(np.array(out))
+            out = []
+    return np.concatenate([*blocks, np.array(out).reshape(-1, FEATURES)]), np.frombuffer(sizes, dtype=np.int64)
 
 
 def with_neighbours(own: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -112,15 +118,10 @@ class Model:
 
 
 def _chains(texts: list[str | None]):
-    every, sizes, lengths = [], [], []
-    for t in texts:
-        f, s = line_features(t)
-        every += f
-        sizes += s
-        lengths.append(len(s))
-    lengths = np.array(lengths, dtype=np.int64)
+    every, sizes = zip(*map(line_features, texts), strict=True)
+    lengths = np.array(list(map(len, sizes)), dtype=np.int64)
     ends = np.cumsum(lengths)
-    return np.array(every, dtype=np.float64).reshape(-1, FEATURES), np.array(sizes, dtype=np.float64), lengths, ends - lengths, ends - 1
+    return np.concatenate(every), np.concatenate(sizes).astype(np.float64), lengths, ends - lengths, ends - 1
 
 
 def _climb(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, first: np.ndarray, share: np.ndarray, steps: int = 120):
@@ -186,13 +187,25 @@ def score(model: Model | None, texts: list[str | None]) -> list[float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1000, max_chars: int = 20_000) -> Model | None:
-    """``labels``: the rows to learn from. Their sample has 2 x ``per_label`` ids at most, so it is broadcast."""
+    """``labels``: the rows to learn from.
+
+    Of each label up to 4 x ``per_label`` ids are drawn by hash, and of these the first ``per_label`` whose texts have
+    ``max_chars`` characters at most are learned from; where a label has none such, its first ``per_label`` / 20 texts.
+    """
     ids = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
-    some = [ids.filter(F.col("label") == k).orderBy(*order).limit(per_label) for k in (0, 1)]
-    chosen = some[0].union(some[1])
+    some = [ids.filter(F.col("label") == k).orderBy(*order).limit(4 * per_label) for k in (0, 1)]
+    drawn = session.cut(some[0].union(some[1]))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).orderBy(*order).limit(4 * per_label).collect()
+    sizes = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(*order).collect()
+    chosen = []
+    for k in (0, 1):
+        short = [r.id for r in sizes if r.label == k and r.n <= max_chars][:per_label]
+        chosen += short or [r.id for r in sizes if r.label == k][: max(1, per_label // 20)]
+    if not chosen:
+        return None
+    wanted = drawn.filter(F.col("id").isin(chosen))
+    got = texts.join(F.broadcast(wanted), "id").orderBy(*order, F.xxhash64("text")).limit(4 * per_label).collect()
     return fit([r.text for r in got], [r.label for r in got])
 
 
