@@ -201,11 +201,19 @@ def test_language_odd_texts(spark):
 
 
 def test_kernel_is_the_normalised_number_of_shared_grams():
-    table = language.letter_table(["abcd efg"])
-    a, b = language.grams("abc", table), language.grams("abd", table)
+    a, b = language.grams("abc"), language.grams("abd")
     assert len(a) == 6 and len(np.intersect1d(a, b)) == 3
     model = language.fit(["abc", "xyz"], ["l", "m"])
-    assert np.allclose(language.kernels(model, [language.grams("abd", model.table)])[0, 0], len(np.intersect1d(language.grams("abc", model.table), language.grams("abd", model.table))) / 6)
+    assert np.allclose(language.kernels(model, [b])[0, 0], 3 / 6)
+    # the columns are those of the rule, for any script
+    text = "Жук 1 日"
+    s = [c if (c := language.symbols(x)[0]) < 3 else ord(x.lower()) + 3 for x in text]
+    want = set()
+    for n in range(3):
+        for i in range(len(s) - n):
+            total = sum(int(s[i + k]) * int(language.PLACES[k]) for k in range(n + 1)) & 0xFFFFFFFF
+            want.add((total * int(language.KINDS[n]) + int(language.KINDS[n]) & 0xFFFFFFFF) >> 14)
+    assert sorted(want) == language.grams(text).tolist()
 
 
 def test_forward_backward_against_enumeration():
@@ -294,7 +302,7 @@ def test_warc_files_round_trip(spark, tmp_path):
         {"record_id": "urn:2", "ts": "2024-01-02T00:00:00Z", "url": "http://www.a.com", "revisit": True, "headers": {"etag": '"1"', "expires": "0"}, "digest": None, "body": None},
     ]
     data = warc.write_warc(rows)
-    assert warc.parse_warc(data) == rows
+    assert list(warc.parse_warc(data)) == rows
     (tmp_path / "a.warc").write_bytes(data)
     captures = warc.read_warc(spark, str(tmp_path))
     done = {r.record_id: r for r in warc.with_bodies(warc.resolve_revisits(captures), captures).collect()}
@@ -302,6 +310,34 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert done["urn:2"].headers == {"etag": '"1"', "server": "s", "expires": "0"}
 
 
+def test_damaged_warc_files_become_rows_with_an_error(spark, tmp_path):
+    import gzip
+
+    rows = [{"record_id": f"urn:{i}", "ts": "2024-01-01T00:00:00Z" if i else "yesterday", "url": "http://a.com/", "revisit": False, "headers": {}, "digest": None, "body": b"x" * 2000} for i in range(3)]
+    data = warc.write_warc(rows)
+    (tmp_path / "whole.warc").write_bytes(data)
+    (tmp_path / "cut.warc").write_bytes(data[:-1000])
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(data)[:-12])
+    (tmp_path / "junk.warc").write_bytes(b"no record")
+    (tmp_path / "length.warc").write_bytes(data.replace(b"Content-Length: 2", b"Content-Length: z", 1))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sum(r.error is None for r in got) >= 5 and sum(r.error is not None for r in got) == 4
+    assert all(r.record_id is None and r.revisit is None for r in got if r.error)
+    assert {r.ts is None for r in got if r.record_id == "urn:0"} == {True}
+    assert warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).count() == len(got)
+
+
+def test_repeated_records_and_clashing_columns(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("r", t, "http://a.com", False, {"etag": "1"}, None, b"b", "x"), ("r", t, "http://a.com", False, {"etag": "1"}, None, b"a", "x"), ("v", t + dt.timedelta(1), "http://a.com", True, None, None, None, "x"), ("w", t + dt.timedelta(2), "http://a.com", None, None, None, b"n", "x")]
+    captures = spark.createDataFrame(rows, warc.CAPTURES + ", task string")
+    done = warc.with_bodies(warc.resolve_revisits(captures), captures).collect()
+    assert sorted((r.record_id, r.status, r.matched_id, bytes(r.body) if r.body else None) for r in done) == [("r", "full", None, b"a"), ("r", "full", None, b"a"), ("v", "unverified", "r", None), ("w", "full", None, b"n")]
+
+
 def test_shared_files_are_whole(tmp_path):
     from tidemark.llm.common import map_file, write_file
 

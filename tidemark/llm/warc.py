@@ -11,15 +11,22 @@ attached by record id.
 
 Cases: no earlier response gives ``no_response``; no validator on both sides gives ``unverified`` (matched, headers not
 merged); a validator that differs gives ``mismatch``; full responses give ``full``. ETags compare weakly. Ties in time are
-ordered by record_id; repeated records resolve alike; a null URL or time matches nothing; an empty table gives an empty
-result; other columns are ignored.
+ordered by record_id; repeated records resolve alike; a null URL or time matches nothing; a null ``revisit`` counts as
+false and null headers as none; an empty table gives an empty result; other columns are ignored.
+
+Files are parsed record by record, and what is parsed is handed on in bounded batches. Where a file is damaged (a cut
+gzip stream or block, a bad length, no record where one must begin), its records before that place are kept, and one row
+with ``error`` and nothing else but nulls stands for the rest; a bad date gives a null ``ts``.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import io
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +40,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 #: Query parameters that don't tell pages apart.
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid|msclkid|ref)(=|$)"
 CAPTURES = "record_id string, ts timestamp_ntz, url string, revisit boolean, headers map<string,string>, digest string, body binary"
+#: Bytes of bodies of one batch of parsed records.
+BATCH_BYTES = 8 << 20
 
 
 def canonical_url(url):
@@ -53,7 +62,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     """(record_id, canonical_url, status, matched_id, headers), one row for each capture."""
     spark = captures.sparkSession
     full = F.struct("ts", "record_id", "digest", "headers")
-    meta = captures.select("record_id", "ts", canonical_url(F.col("url")).alias("canonical_url"), F.col("revisit").alias("revisit"), "digest", "headers")
+    meta = captures.select("record_id", "ts", canonical_url(F.col("url")).alias("canonical_url"), F.coalesce("revisit", F.lit(False)).alias("revisit"), "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
     known = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
     dealt = meta.repartitionByRange(default_partitions(spark), "canonical_url", "ts", "record_id").withColumn("task", F.spark_partition_id())
     rows = session.cut(dealt.withColumn("response", F.when(known & ~F.col("revisit"), full)))
@@ -87,7 +96,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 
 def with_bodies(resolved: DataFrame, captures: DataFrame) -> DataFrame:
     """``resolved`` with the body that each capture stands for: its own, or its match's."""
-    bodies = captures.filter("NOT revisit").select(F.col("record_id").alias("body_id"), "body").dropDuplicates(["body_id"])
+    own = captures.filter("revisit IS NULL OR NOT revisit").select(F.col("record_id").alias("body_id"), "body")
+    bodies = own.groupBy("body_id").agg(F.min("body").alias("body"))  # records of one id: the least body
     wanted = resolved.withColumn("body_id", F.when(F.col("status") == "full", F.col("record_id")).when(F.col("status") == "resolved", F.col("matched_id")))
     return wanted.join(bodies, "body_id", "left").drop("body_id")
 
@@ -100,23 +110,25 @@ def header_list(headers):
 # Files.
 
 
-def parse_warc(data: bytes) -> list[dict]:
-    """The response and revisit records of a WARC file, plain or gzipped."""
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """The response and revisit records of a WARC file, plain or gzipped, one by one."""
     stream = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    out = []
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        head = _headers(stream)
-        block = stream.read(int(head.get("content-length", 0)))
-        kind = head.get("warc-type")
-        if kind in ("response", "revisit"):
-            http, _, body = block.partition(b"\r\n\r\n")
-            fields = _headers(io.BytesIO(http.partition(b"\r\n")[2]))
-            out.append(
-                {
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"not a WARC record: {line[:40]!r}")
+            head = _headers(stream)
+            size = int(head.get("content-length", 0))
+            block = stream.read(size)
+            if size < 0 or len(block) < size:
+                raise ValueError("a record's block is cut short")
+            kind = head.get("warc-type")
+            if kind in ("response", "revisit"):
+                http, _, body = block.partition(b"\r\n\r\n")
+                fields = _headers(io.BytesIO(http.partition(b"\r\n")[2]))
+                yield {
                     "record_id": head.get("warc-record-id", "").strip("<>"),
                     "ts": head.get("warc-date"),
                     "url": head.get("warc-target-uri"),
@@ -125,8 +137,8 @@ def parse_warc(data: bytes) -> list[dict]:
                     "digest": head.get("warc-payload-digest"),
                     "body": None if kind == "revisit" else body,
                 }
-            )
-    return out
+    except (ValueError, EOFError, OSError, zlib.error) as e:  # what follows can't be read
+        yield {"error": f"{type(e).__name__}: {e}"}
 
 
 def _headers(stream) -> dict[str, str]:
@@ -153,21 +165,31 @@ def write_warc(records: list[dict]) -> bytes:
     return b"".join(out)
 
 
+def _time(date: str | None) -> datetime.datetime | None:
+    try:
+        return datetime.datetime.strptime(date[:19], "%Y-%m-%dT%H:%M:%S") if date else None
+    except ValueError:
+        return None
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of the WARC files at ``path``; a file is read by one task."""
-    import datetime
+    """Captures of the WARC files at ``path``, and a row with ``error`` for a damaged one; a file is read by one task."""
+    fields = [("record_id", pa.string()), ("ts", pa.timestamp("us")), ("url", pa.string()), ("revisit", pa.bool_()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("body", pa.binary()), ("error", pa.string())]
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = parse_warc(data)
-                for r in rows:
-                    r["ts"] = datetime.datetime.strptime(r["ts"][:19], "%Y-%m-%dT%H:%M:%S") if r["ts"] else None
-                    r["headers"] = list(r["headers"].items())
-                kinds = pa.schema([("record_id", pa.string()), ("ts", pa.timestamp("us")), ("url", pa.string()), ("revisit", pa.bool_()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("body", pa.binary())])
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-
-    return session.arrow_map(spark.read.format("binaryFile").load(path).select("content"), run, CAPTURES)
+            for data in batch.column(0):
+                for r in parse_warc(data.as_py()):
+                    held.append(r | {"ts": _time(r.get("ts")), "headers": list(r["headers"].items()) if "headers" in r else None})
+                    size += 200 + len(r.get("body") or b"")
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=pa.schema(fields))
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=pa.schema(fields))
+
+    return session.arrow_map(spark.read.format("binaryFile").load(path).select("content"), run, f"{CAPTURES}, error string")
 
 
 def payload_digest(body: bytes) -> str:
