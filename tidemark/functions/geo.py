@@ -5,7 +5,9 @@ Points of notices are structs (lat, long), points of layers structs (lon, lat);
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 import pandas as pd
@@ -291,3 +293,39 @@ def touches_sea(sea: Sea):
         return F.when(F.coalesce(apart, F.lit(True)), False).otherwise(test(kind, points))
 
     return near
+
+
+#: Edges up to which a point is tested by an expression; beyond that in Python.
+MOST_EDGES = 64
+
+
+def point_in_sea(sea: Sea):
+    """A Column function (lon, lat) -> boolean, for points."""
+    if not sea.waters:
+        return lambda lon, lat: F.lit(True)
+    if len(sea.edges) > MOST_EDGES:
+        test = touches_sea(sea)
+        return lambda lon, lat: test(F.lit("point"), F.array(F.struct(lon.alias("lon"), lat.alias("lat"))))
+
+    def crossed(x, y, edge):
+        ax, ay, bx, by = map(float, edge)
+        return F.when(((F.lit(ay) > y) != (F.lit(by) > y)) & (x < F.lit(bx - ax) * (y - ay) / F.lit(by - ay) + ax), 1).otherwise(0) if ay != by else F.lit(0)
+
+    def on(x, y, edge):
+        ax, ay, bx, by = map(float, edge)
+        return (F.lit(bx - ax) * (y - ay) - F.lit(by - ay) * (x - ax) == 0) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by))
+
+    any_of = lambda tests: functools.reduce(operator.or_, tests, F.lit(False))
+    edges = lambda ring: np.hstack([ring[:-1], ring[1:]]).tolist()
+    odd = lambda x, y, ring: sum(crossed(x, y, e) for e in edges(ring)) % 2 == 1
+
+    def place(x, y, polygon):
+        """(on an edge, in the interior)"""
+        edge = any_of(on(x, y, e) for ring in polygon for e in edges(ring))
+        return edge, ~edge & odd(x, y, polygon[0]) & ~any_of(odd(x, y, hole) for hole in polygon[1:])
+
+    def test(lon: Column, lat: Column) -> Column:
+        wet = any_of(a | b for a, b in (place(lon, lat, p) for p in sea.waters))
+        return wet & ~any_of(place(lon, lat, p)[1] for p in sea.land)
+
+    return test

@@ -32,7 +32,8 @@ def trim(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space."""
-    return F.regexp_replace(c, f"{WS}+", " ")
+    # a single space stays as it is, so most of a text needs no replacement
+    return F.regexp_replace(c, f"{WS}{{2,}}|{WS.replace(' ', '', 1)}", " ")
 
 
 def some(c: Column) -> Column:
@@ -200,6 +201,7 @@ def swears(c: Column, words) -> Column:
 
 # Facts in prose.
 
+#: Names of months, and the patterns that state what counts as a fact.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DATE = r"(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?([A-Za-z]+)\s+(\d{4})"
 FROM = rf"(?i)(?:in place|effective|valid|applicable|enforced)[^.]*?\bfrom(?:\s+the)?\s+{DATE}"
@@ -221,29 +223,47 @@ def prose(c: Column) -> Column:
 
 def group(c: Column, pattern: str, n: int) -> Column:
     """A group of the first match, or null."""
-    return F.nullif(F.regexp_extract(c, pattern, n), F.lit(""))
+    return let(F.regexp_extract(c, pattern, n), lambda v: F.when(v != "", v))
 
 
 def _date(c: Column, pattern: str, end_of_day: bool) -> Column:
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(group(c, pattern, 2)))
-    text = F.format_string("%04d-%02d-%02d", group(c, pattern, 3).cast("int"), month.cast("int"), group(c, pattern, 1).cast("int"))
-    day = F.when(month > 0, F.concat(text, F.lit(" 23:59:59.999" if end_of_day else " 00:00:00"))).try_cast("timestamp_ntz")
-    return day
+    """The date that the first match states; the pattern's groups are its day, month and year."""
+    clock = " 23:59:59.999" if end_of_day else " 00:00:00"
+    months = F.array(*[F.lit(m) for m in MONTHS])
+
+    def stated(parts):
+        month = let(F.array_position(months, F.lower(F.get(parts, 1))), lambda m: F.when(m > 0, m.cast("int")))
+        return F.concat(F.format_string("%04d-%02d-", F.get(parts, 2).cast("int"), month), F.lpad(F.get(parts, 0), 2, "0"), F.when(month > 0, clock)).try_cast("timestamp_ntz")
+
+    return let(group(c, pattern, 0), lambda m: let(F.split(F.regexp_replace(m, pattern, "$1 $2 $3"), " "), stated))
+
+
+def _notice_date(bare: Column) -> Column:
+    return let(group(bare, NOTICE, 1).cast("int"), lambda year: F.when(year.between(2000, 2100), F.format_string("%04d-01-01 00:00:00", year)).try_cast("timestamp_ntz"))
+
+
+def _source_url(plain: Column) -> Column:
+    return F.regexp_replace(group(plain, "(?i)https?://[^\\s\"'<>]+", 0), "[.,;)]+$", "")
+
+
+def _distance(plain: Column, metres_times: float = 1.0) -> Column:
+    both = F.struct(group(plain, METRES, 1).cast("double").alias("m"), group(plain, MILES, 1).cast("double").alias("n"))
+    value = lambda x: F.coalesce(F.when(x["n"].isNotNull(), x["m"] * metres_times).otherwise(x["m"]), x["n"] * NAUTICAL_MILE)
+    return let(both, lambda x: let(value(x), lambda v: F.when(v > 0, v)))
 
 
 def valid_from(c: Column) -> Column:
-    return _date(prose(c), FROM, end_of_day=False)
+    return let(prose(c), lambda p: _date(p, FROM, end_of_day=False))
 
 
 def valid_to(c: Column) -> Column:
     """The last millisecond of the stated day."""
-    return _date(prose(c), UNTIL, end_of_day=True)
+    return let(prose(c), lambda p: _date(p, UNTIL, end_of_day=True))
 
 
 def notice_date(c: Column) -> Column:
     """1 January of the year of the notice that the text names, if it is between 2000 and 2100."""
-    year = group(without_tags(c), NOTICE, 1).cast("int")
-    return F.when(year.between(2000, 2100), F.format_string("%04d-01-01 00:00:00", year)).try_cast("timestamp_ntz")
+    return _notice_date(without_tags(c))
 
 
 def notice_reference(c: Column) -> Column:
@@ -251,15 +271,32 @@ def notice_reference(c: Column) -> Column:
 
 
 def source_url(c: Column) -> Column:
-    return F.regexp_replace(group(prose(c), "(?i)https?://[^\\s\"'<>]+", 0), "[.,;)]+$", "")
+    return _source_url(prose(c))
+
+
+def distance_metres(c: Column, metres_times: float = 1.0) -> Column:
+    """Metres, or nautical miles in metres.
+
+    Where a text states both, the metres are multiplied by ``metres_times``: as they are, or by ``NAUTICAL_MILE`` for the
+    result of services that read the first number in the last unit.
+    """
+    return _distance(prose(c), metres_times)
 
 
-def distance_metres(c: Column) -> Column:
-    """Metres, or nautical miles in metres. Where a text states both, metres count as they are."""
-    text = prose(c)
-    metres, miles = group(text, METRES, 1).cast("double"), group(text, MILES, 1).cast("double") * NAUTICAL_MILE
-    value = F.coalesce(metres, miles)
-    return F.when(value > 0, value)
+def facts(c: Column) -> Column:
+    """All facts of a text as one struct; its tags and white space are taken out once."""
+
+    def read(plain, bare):
+        return F.struct(
+            _date(plain, FROM, end_of_day=False).alias("valid_from"),
+            _date(plain, UNTIL, end_of_day=True).alias("valid_to"),
+            _notice_date(bare).alias("notice_date"),
+            trim(group(plain, REFERENCE, 0)).alias("reference"),
+            _source_url(plain).alias("url"),
+            _distance(plain).alias("distance"),
+        )
+
+    return let(without_tags(c), lambda bare: let(collapse(bare), lambda plain: read(plain, bare)))
 
 
 def zone_name(c: Column) -> Column:

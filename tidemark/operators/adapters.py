@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,17 @@ def served(**columns: Column) -> Column:
     return F.struct(*[columns.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in KINDS.items()])
 
 
+def once(adapter):
+    """The adapter with its variant computed once, however many properties it reads."""
+
+    @functools.wraps(adapter)
+    def adapted(p: Column) -> Column:
+        return t.let(p, adapter)
+
+    return adapted
+
+
+@once
 def diving_site(p: Column) -> Column:
     s = lambda k: t.prop(p, k)
     interest = s("interest")
@@ -36,6 +49,7 @@ def diving_site(p: Column) -> Column:
     )
 
 
+@once
 def anchoring_hotspot(p: Column) -> Column:
     s = lambda k: t.prop(p, k)
     parts = t.kind_and_period(s("description"))
@@ -50,6 +64,7 @@ def anchoring_hotspot(p: Column) -> Column:
     )
 
 
+@once
 def bunkering_area(p: Column) -> Column:
     s = lambda k: t.prop(p, k)
     number = F.coalesce(t.group(s("name"), r"(?i)\barea\s*(\d+)\b", 1), t.group(s("localId"), r"(\d+)$", 1))
@@ -63,6 +78,7 @@ def bunkering_area(p: Column) -> Column:
     )
 
 
+@once
 def beach(p: Column) -> Column:
     s = lambda k: t.prop(p, k)
     code, maltese = s("Site_Code"), s("Name_MT")

@@ -205,9 +205,8 @@ LAND = [[[[14.4, 35.6], [14.7, 35.6], [14.7, 35.9], [14.4, 35.9], [14.4, 35.6]]]
 
 def sea_filter(spark, sf_dir):
     p = positions(spark, sf_dir).select("vec_id", F.posexplode("at").alias("i", "a"))
-    points = F.array(F.struct(F.col("a")[0].alias("lon"), F.col("a")[1].alias("lat")))
-    test = geo.touches_sea(geo.Sea(WATERS, LAND))
-    return p.filter(test(F.lit("point"), points)).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
+    test = geo.point_in_sea(geo.Sea(WATERS, LAND))
+    return p.select("vec_id", F.col("a")[0].alias("lon"), F.col("a")[1].alias("lat")).filter(test(F.col("lon"), F.col("lat"))).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def positions_within(spark, sf_dir):

@@ -28,7 +28,7 @@ def zone_group(spark, sf_dir):
     name = F.when(k % 2 == 0, F.concat(F.lit("Zone  "), (k % 40).cast("string"))).otherwise(F.concat(F.lit(" zone "), (k % 40).cast("string"), F.lit(" ")))
     point = lambda a, b: F.struct(a.cast("double").alias("lon"), b.cast("double").alias("lat"))
     line = F.struct(F.lit("line").alias("type"), F.array(point(k % 3, F.lit(1)), point(k % 3 + 1, F.col("turn") % 2)).alias("points"))
-    rows = c.select(k.cast("int").alias("folder_idx"), F.col("turn").cast("int").alias("placemark_idx"), F.col("role").alias("folder"), name.alias("name"), F.when(F.col("turn") > 1, F.substring("text", 1, 20)).otherwise("").alias("description"), F.array(line).alias("geometries"))
+    rows = c.select(k.cast("int").alias("folder_idx"), F.col("turn").cast("int").alias("placemark_idx"), F.col("role").alias("folder"), name.alias("name"), F.when(F.col("turn") > 1, F.col("text")).otherwise("").alias("description"), F.array(line).alias("geometries"))
     layers = tuple(MapLayer(r, f"^{r}$") for r in ("user", "assistant", "system"))
     z = snapshot.zones(rows, layers=layers)
     return z.select("layer", "subKey", "zoneName", F.size("geometries").alias("shapes"), "sourceDescription")
@@ -71,8 +71,7 @@ def fact_extract(spark, sf_dir):
     far = F.when(k % 3 == 0, F.concat(F.lit("Keep a distance of "), (k % 500).cast("string"), F.lit("m. "))).when(k % 3 == 1, F.concat(F.lit("A zone of "), (k % 9).cast("string"), F.lit(".5 NM applies. "))).otherwise("Speed 3 knots. ")
     notice = F.when(k % 2 == 0, F.concat(F.lit("Local Notice to Mariners No. "), (k % 100).cast("string"), F.lit(" of "), F.year("o_orderdate").cast("string"), F.lit(" at https://example.org/"), k, F.lit(". "))).otherwise("")
     rows = o.select("o_orderkey", F.concat(start, far, notice).alias("t"))
-    t = F.col("t")
-    return rows.select("o_orderkey", text.valid_from(t).alias("valid_from"), text.valid_to(t).alias("valid_to"), text.notice_date(t).alias("notice_date"), text.notice_reference(t).alias("reference"), text.source_url(t).alias("url"), text.distance_metres(t).alias("distance"))
+    return rows.select("o_orderkey", text.facts(F.col("t")).alias("f")).select("o_orderkey", "f.*")
 
 
 def description_compose(spark, sf_dir):
@@ -97,7 +96,7 @@ ORACLES = {
     "layer_match": """SELECT p_partkey, layer FROM (SELECT p_partkey, p_name, CASE WHEN regexp_matches(lower(p_name), 'ring|gear') THEN 'ring-like' WHEN lower(p_name) LIKE 'blue %' THEN 'blue' WHEN contains(p_name, 'bolt') THEN 'bolts' END AS layer FROM part)
 WHERE layer IS NOT NULL AND (layer <> 'ring-like' OR p_name LIKE 'small%')""",
     "zone_group": r"""
-WITH r AS (SELECT role AS layer, 'zone ' || conv_id % 40 AS ident, CASE WHEN conv_id % 2 = 0 THEN 'Zone ' ELSE 'zone ' END || conv_id % 40 AS name, CASE WHEN turn > 1 THEN left(text, 20) ELSE '' END AS d, conv_id, turn,
+WITH r AS (SELECT role AS layer, 'zone ' || conv_id % 40 AS ident, CASE WHEN conv_id % 2 = 0 THEN 'Zone ' ELSE 'zone ' END || conv_id % 40 AS name, CASE WHEN turn > 1 THEN text ELSE '' END AS d, conv_id, turn,
   least(conv_id % 3 || ',1;' || conv_id % 3 + 1 || ',' || turn % 2, conv_id % 3 + 1 || ',' || turn % 2 || ';' || conv_id % 3 || ',1') AS shape FROM conversations)
 SELECT layer, layer || ':' || left(sha256(ident), 20) AS "subKey", arg_min(name, conv_id * 1000 + turn) AS "zoneName", CAST(count(DISTINCT shape) AS INT) AS shapes, coalesce(arg_min(d, conv_id * 1000 + turn) FILTER (WHERE d <> ''), '') AS "sourceDescription"
 FROM r GROUP BY layer, ident""",
