@@ -38,15 +38,23 @@ def dropped_reason(geometry_missing: Column, geometry_valid: Column, title: Colu
 def with_ids(rows: DataFrame) -> DataFrame:
     """``rows`` (dataset_key, feature_idx, raw_id, ...) with id: ``key:slug``, and -2, -3, ... where it is taken, in order.
 
-    Ids can only collide among slugs that are equal but for numbers at the end. Where such a family has one slug its ids
-    follow from a row number; only families of several slugs are probed one by one.
+    Ids of different slugs can only meet where one slug is another with a number after it. Only such slugs are probed one
+    by one, in groups; the ids of all others follow from a row number, which no task counts for a whole slug.
     """
     slug = F.coalesce(F.nullif(text.slug(F.col("raw_id")), F.lit("")), F.concat(F.lit("feature-"), F.col("feature_idx") + 1))
-    based = rows.withColumn("base", F.concat("dataset_key", F.lit(":"), slug)).withColumn("family", F.regexp_replace("base", r"(-\d+)+$", ""))
-    tangled = based.groupBy("family").agg((F.min("base") != F.max("base")).alias("tangled"))
-    marked = based.join(tangled, "family")
-    n = F.row_number().over(Window.partitionBy("base").orderBy("feature_idx"))
-    plain = marked.filter("NOT tangled").withColumn("id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n)))
+    based = rows.select("dataset_key", "feature_idx", F.concat("dataset_key", F.lit(":"), slug).alias("base"))
+    dealt = session.cut(based.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "base", "feature_idx").withColumn("task", F.spark_partition_id()))
+    counts = session.cut(dealt.groupBy("base", "task").agg(F.count(F.lit(1)).alias("n")))
+    bases = counts.select("base").distinct()
+    numbered = bases.select("base", F.regexp_extract("base", r"^(.+)-\d+$", 1).alias("stem")).join(bases.select(F.col("base").alias("stem")), "stem", "left_semi")
+    tangled = numbered.select("base").union(numbered.select("stem")).distinct().withColumn("family", F.regexp_replace("base", r"(-\d+)+$", ""))
+
+    # a slug's rows before a task's own, as many rows as a slug has tasks
+    before = Window.partitionBy("base").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("base", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    n = F.col("start") + F.row_number().over(Window.partitionBy("task", "base").orderBy("feature_idx"))
+    numbers = dealt.join(tangled, "base", "left_anti").join(starts, ["base", "task"]).withColumn("number", n)
+    plain = numbers.withColumn("id", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), "number")))
 
     def probe(group: pd.DataFrame) -> pd.DataFrame:
         seen, ids = set(), []
@@ -60,8 +68,8 @@ def with_ids(rows: DataFrame) -> DataFrame:
         return group.assign(id=ids)[["dataset_key", "feature_idx", "id"]]
 
     session.ship(rows.sparkSession)
-    narrow = marked.filter("tangled").select("dataset_key", "feature_idx", "base", "family")
-    probed = narrow.groupBy("family").applyInPandas(probe, "dataset_key string, feature_idx int, id string")
+    probed = dealt.join(tangled, "base").select("dataset_key", "feature_idx", "base", "family")
+    probed = probed.groupBy("family").applyInPandas(probe, "dataset_key string, feature_idx int, id string")
     ids = plain.select("dataset_key", "feature_idx", "id").unionByName(probed)
     return rows.join(ids, ["dataset_key", "feature_idx"])
 

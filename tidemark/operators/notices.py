@@ -138,21 +138,21 @@ def manifest(notices: DataFrame, now: Column) -> DataFrame:
 # Served form.
 
 
-def served(notices: DataFrame) -> DataFrame:
-    """Public columns with derived geometry. Apply after the page is cut."""
+def served(notices: DataFrame, *more: str) -> DataFrame:
+    """Public columns with derived geometry, and the columns ``more`` as they are. Apply after the page is cut."""
     anchors = geo.representative_points(F.col("areas"))
     return notices.withColumn("anchors", anchors).select(
         "id", "kind", "category", "title", "description", "source", "noticeRef", "sourceUrl", "locationLabel",
         text.iso_millis(F.col("activeFrom")).alias("activeFrom"), text.iso_millis(F.col("activeTo")).alias("activeTo"), "distance",
         F.coalesce("reviewReasons", F.array().cast("array<string>")).alias("reviewReasons"),
         geo.features(F.col("areas")).alias("geometry"), F.get("anchors", 0).alias("representativePoint"), F.col("anchors").alias("representativePoints"),
-        geo.bounding_circle(F.col("areas"), F.col("distance")).alias("boundingCircle"),
+        geo.bounding_circle(F.col("areas"), F.col("distance")).alias("boundingCircle"), *more,
     )
 
 
 def served_flagged(notices: DataFrame) -> DataFrame:
     """For the administrator only: the served form with the number of reports."""
-    return served(notices).join(notices.select("id", "reports"), "id")
+    return served(notices, "reports")
 
 
 def kind_rank(kind: Column) -> Column:
@@ -226,7 +226,9 @@ def parse_notices(rows: DataFrame, column: str = "json") -> DataFrame:
     areas = F.from_json(areas_text, schemas.AREAS)
     unknown = lambda keys, known: F.size(F.array_except(keys, F.array(*[F.lit(k) for k in sorted(known)]))) > 0
     parts = F.from_json(areas_text, "array<map<string,string>>")
+    points = F.from_json(areas_text, "array<struct<points:array<map<string,string>>>>")
     extra = unknown(F.json_object_keys(column), NOTICE_KEYS) | F.coalesce(F.exists(parts, lambda p: unknown(F.map_keys(p), PART_KEYS)), F.lit(False))
+    extra = extra | F.coalesce(F.exists(points, lambda p: F.exists(p["points"], lambda q: unknown(F.map_keys(q), POINT_KEYS))), F.lit(False))
     stamp = lambda k: F.try_to_timestamp(raw(k)).cast("timestamp_ntz")
     distance = raw("distance").try_cast("double")
     notice = F.struct(

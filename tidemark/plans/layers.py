@@ -78,7 +78,8 @@ def classification_overlay(spark, sf_dir):
 
 
 def classification_overlap(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("siteCode"))
+    """Labels against documents whose keys are moved on by 37, so that some have no label."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 37).cast("string").alias("siteCode"))
     return classification.overlap(_classes(spark, sf_dir), d)
 
 
@@ -88,8 +89,7 @@ def report_sites(spark, sf_dir):
     code = F.concat(F.substring(F.lit("abcde"), (F.col("conv_id") % 5 + 1).cast("int"), F.lit(1)), F.lit(" "), F.lpad((F.col("conv_id") % 97).cast("string"), 2, "0"))
     site = F.struct(code.alias("siteCode"), F.when(F.col("role") == "user", " Excellent ").when(F.col("turn") % 4 == 1, "closed").otherwise("unheard of").alias("classification"), (F.col("turn") > 2).alias("healthWarning"))
     rows = c.select(F.lit(" today ").alias("publishedOn"), F.array(site).alias("sites"), "conv_id", "turn")
-    flat = rows.groupBy("publishedOn").agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "sites"))), lambda x: x["sites"][0]).alias("sites"))
-    return reports.sites(flat, schemas.CLASSES)
+    return reports.sites(rows, schemas.CLASSES, "conv_id", "turn")
 
 
 def catalog_revision(spark, sf_dir):
@@ -249,7 +249,7 @@ SELECT doc_id, ',' || concat_ws(',', CASE c WHEN 'closed' THEN 'CLOSED — bathi
     CASE WHEN warning THEN 'Health warning' END, lang, source) || ',' AS tags,
   CASE WHEN c IS NOT NULL THEN 'Water quality=' || upper(c[1]) || c[2:] || published || ';' ELSE '' END || 'Source=' || source AS details, rank, CASE WHEN warning THEN true END AS warning
 FROM documents LEFT JOIN {CLASSES} USING (doc_id)""",
-    "classification_overlap": """SELECT count(*) AS n, count(d.doc_id) AS matched, count(d.doc_id) / count(*) AS ratio FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d USING (doc_id)""",
+    "classification_overlap": """SELECT count(*) AS n, count(d.doc_id) AS matched, count(d.doc_id) / count(*) AS ratio FROM labels l LEFT JOIN (SELECT DISTINCT doc_id + 37 AS doc_id FROM documents) d USING (doc_id)""",
     "report_sites": """
 SELECT code AS "siteCode", c AS classification, turn > 2 AS "healthWarning", 'today' AS "publishedOn" FROM (
   SELECT *, row_number() OVER (PARTITION BY code ORDER BY conv_id, turn) AS n FROM (

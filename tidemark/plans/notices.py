@@ -85,7 +85,8 @@ def reports_page(spark, sf_dir):
 
 
 def _counted(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("reports"))
+    # the customers' keys are moved on, so that some events name none
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") + 50).alias("id"), F.col("c_nationkey").alias("reports"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'error'").select(F.col("user_id").alias("id"))
     return n.count_reports(rows, events)
 
@@ -134,8 +135,8 @@ WHERE reports >= 7 ORDER BY reports DESC, "createdAt" DESC, id LIMIT 51""",
     "logs_page": f"""SELECT * FROM {LOGS} WHERE "logType" = 'error' AND "createdAt" >= TIMESTAMP '2024-01-10' ORDER BY "createdAt" DESC, id LIMIT 201 OFFSET 10""",
     "log_retention": f"""SELECT * FROM {LOGS} WHERE "createdAt" >= TIMESTAMP '{LOG_AS_OF}' - INTERVAL 14 DAYS""",
     "reports_page": f"""SELECT id, true AS resolved, "createdAt" FROM {LOGS} WHERE "logType" = 'signup' ORDER BY "createdAt" DESC, id LIMIT 26""",
-    "report_increment": f"SELECT c_custkey AS id, CAST(c_nationkey + coalesce(n, 0) AS INT) AS reports FROM customer LEFT JOIN ({COUNTED}) e ON e.id = c_custkey WHERE c_custkey % 2 = 0",
-    "unknown_reports": f"SELECT id FROM ({COUNTED}) WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
+    "report_increment": f"SELECT c_custkey + 50 AS id, CAST(c_nationkey + coalesce(n, 0) AS INT) AS reports FROM customer LEFT JOIN ({COUNTED}) e ON e.id = c_custkey + 50",
+    "unknown_reports": f"SELECT id FROM ({COUNTED}) WHERE id NOT IN (SELECT c_custkey + 50 FROM customer)",
     "report_validation": """SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 9 = 0 THEN 'title' END,
   CASE WHEN coalesce(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 0) NOT BETWEEN 1 AND 1000 THEN 'description' END,
   CASE WHEN doc_id % 200 - 100 NOT BETWEEN -90 AND 90 THEN 'latitude' END, CASE WHEN doc_id % 400 - 200 NOT BETWEEN -180 AND 180 THEN 'longitude' END) AS errors FROM documents""".replace("\\\\", "\\"),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 
-#: The least number of sites that a report is trusted with.
+#: The least number of sites that a report is trusted with, and patterns of codes, links and weeks.
 LEAST_SITES = 80
 SITE_CODE = r"^[A-D]\d{2}$"
 ANCHOR = r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+WEEK = r"(?i)\bweek(?:[-_\s]*)(\d{1,2})\b"
+UPLOAD = r"/uploads/(\d{4})/(\d{2})/"
 REPORT = "publishedOn STRING, sites ARRAY<STRUCT<siteCode: STRING, classification: STRING, healthWarning: BOOLEAN>>"
 
 
@@ -43,12 +45,12 @@ def absolute(href: Column, base: Column) -> Column:
 
 
 def upload_key(url: Column) -> Column:
-    month = F.concat_ws("/", F.regexp_extract(url, r"/uploads/(\d{4})/(\d{2})/", 1), F.regexp_extract(url, r"/uploads/(\d{4})/(\d{2})/", 2))
+    month = F.concat_ws("/", F.regexp_extract(url, UPLOAD, 1), F.regexp_extract(url, UPLOAD, 2))
     return F.when(month != "/", month).otherwise(F.concat(F.lit("0000/00 "), url))
 
 
 def week(value: Column) -> Column:
-    return F.coalesce(text.group(value, r"(?i)\bweek(?:[-_\s]*)(\d{1,2})\b", 1).cast("int"), F.lit(0))
+    return F.coalesce(text.group(value, WEEK, 1).cast("int"), F.lit(0))
 
 
 def latest(links: DataFrame, base: Column, *keys: str) -> DataFrame:
@@ -73,13 +75,15 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT).option("multiLine", True).json(path)
 
 
-def sites(report: DataFrame, classes) -> DataFrame:
-    """(siteCode, classification, healthWarning, publishedOn): well-formed codes with a known class, the first of each code."""
-    rows = report.select(F.nullif(text.trim(F.col("publishedOn")), F.lit("")).alias("publishedOn"), F.posexplode("sites").alias("pos", "s"))
-    kept = rows.select("pos", site_code(F.col("s.siteCode")).alias("siteCode"), classification(F.col("s.classification"), classes).alias("classification"), F.col("s.healthWarning").alias("healthWarning"), "publishedOn")
+def sites(report: DataFrame, classes, *order: str) -> DataFrame:
+    """(siteCode, classification, healthWarning, publishedOn): well-formed codes with a known class, the first of each code.
+
+    Several reports are taken in the order of their columns ``order``. The first is kept before the shuffle, too.
+    """
+    rows = report.select(*order, F.nullif(text.trim(F.col("publishedOn")), F.lit("")).alias("publishedOn"), F.posexplode("sites").alias("pos", "s"))
+    kept = rows.select(F.struct(*order, "pos").alias("at"), site_code(F.col("s.siteCode")).alias("siteCode"), classification(F.col("s.classification"), classes).alias("classification"), F.col("s.healthWarning").alias("healthWarning"), "publishedOn")
     kept = kept.filter(F.col("siteCode").rlike(SITE_CODE) & F.col("classification").isNotNull())
-    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("siteCode").orderBy("pos")))
-    return first.filter("n = 1").drop("n", "pos")
+    return kept.groupBy("siteCode").agg(F.min_by(F.struct("classification", "healthWarning", "publishedOn"), "at").alias("first")).select("siteCode", "first.*")
 
 
 def assert_enough(found: DataFrame, least: int = LEAST_SITES) -> None:
