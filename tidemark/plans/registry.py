@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import layers, notices, zones
+from tidemark.plans import layers, notices, served, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (notices, layers, zones):
+for _module in (notices, layers, zones, served):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
