@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import session
+from tidemark.functions import text
 
 #: Mean earth radius in metres, for great-circle distances.
 EARTH_RADIUS = 6_371_008.8
@@ -73,12 +74,16 @@ def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def bounding_circle(areas: Column, berth: Column) -> Column:
     """(latitude, longitude, radius) around all finite points; the berth counts if any part is a point."""
-    points = finite_points(F.flatten(F.transform(areas, lambda p: p["points"])))
-    lat, lon = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["long"])
-    mid_lat, mid_lon = (F.array_min(lat) + F.array_max(lat)) / 2, (F.array_min(lon) + F.array_max(lon)) / 2
-    reach = F.array_max(F.transform(points, lambda p: distance(mid_lat, mid_lon, p["lat"], p["long"])))
     extra = F.when(F.exists(areas, lambda p: p["geometryType"] == "point") & (berth > 0), berth).otherwise(0.0)
-    return F.when(F.size(points) > 0, F.struct(mid_lat.alias("latitude"), mid_lon.alias("longitude"), (reach + extra).alias("radius")))
+
+    def around(points):
+        lat, lon = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["long"])
+        middle = F.struct(((F.array_min(lat) + F.array_max(lat)) / 2).alias("lat"), ((F.array_min(lon) + F.array_max(lon)) / 2).alias("lon"))
+        reach = lambda m: F.array_max(F.transform(points, lambda p: distance(m["lat"], m["lon"], p["lat"], p["long"])))
+        circle = text.let(middle, lambda m: F.struct(m["lat"].alias("latitude"), m["lon"].alias("longitude"), (reach(m) + extra).alias("radius")))
+        return F.when(F.size(points) > 0, circle)
+
+    return text.let(finite_points(F.flatten(F.transform(areas, lambda p: p["points"]))), around)
 
 
 def bbox(positions: Column) -> Column:

@@ -196,7 +196,7 @@ def compatible(c: Column) -> Column:
 
 def swears(c: Column, words) -> Column:
     """Whether one of ``words`` stands alone in the text, in any case."""
-    return F.lower(compatible(c)).rlike(f"(^|[^a-z0-9])({'|'.join(words)})(?=$|[^a-z0-9])")
+    return F.lower(compatible(c)).rlike(f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")
 
 
 # Facts in prose.

@@ -219,10 +219,11 @@ def area_errors(areas: Column) -> Column:
 
 def parse_notices(rows: DataFrame, column: str = "json") -> DataFrame:
     """``rows`` with notice (a struct) and errors, from JSON texts; areas may be JSON within JSON, '' counts as unset, and unknown names are refused."""
-    v = F.try_parse_json(column)
-    raw = lambda k: F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
+    # parsed once: the plan keeps these columns apart from those that use them
+    v, areas_text = F.col("__json"), F.col("__areas")
     inner = F.try_variant_get(v, "$.areas", "variant")
-    areas_text = F.when(F.schema_of_variant(inner) == "STRING", raw("areas")).otherwise(F.to_json(inner))
+    raw = lambda k: F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
+    read = rows.withColumn("__json", F.try_parse_json(column)).withColumn("__areas", F.when(F.schema_of_variant(inner) == "STRING", raw("areas")).otherwise(F.to_json(inner)))
     areas = F.from_json(areas_text, schemas.AREAS)
     unknown = lambda keys, known: F.size(F.array_except(keys, F.array(*[F.lit(k) for k in sorted(known)]))) > 0
     parts = F.from_json(areas_text, "array<map<string,string>>")
@@ -236,7 +237,7 @@ def parse_notices(rows: DataFrame, column: str = "json") -> DataFrame:
         F.coalesce(raw("subKey"), F.lit("")).alias("subKey"), raw("noticeRef").alias("noticeRef"), raw("sourceUrl").alias("sourceUrl"), raw("locationLabel").alias("locationLabel"),
         F.coalesce(areas, F.array().cast(schemas.AREAS)).alias("areas"), distance.alias("distance"), stamp("publishedAt").alias("publishedAt"), stamp("activeFrom").alias("activeFrom"), stamp("activeTo").alias("activeTo"),
     )
-    out = rows.withColumn("notice", notice)
+    out = read.withColumn("notice", notice)
     wrong = F.array(
         F.when(v.isNull(), "json"),
         F.when(extra, "unknown name"),
@@ -246,7 +247,7 @@ def parse_notices(rows: DataFrame, column: str = "json") -> DataFrame:
         F.when(raw("distance").isNotNull() & ~F.coalesce(distance >= 0, F.lit(False)), "distance"),
         F.when(areas_text.isNotNull() & areas.isNull(), "areas").otherwise(area_errors(F.col("notice.areas"))),
     )
-    return out.withColumn("errors", F.filter(wrong, lambda x: x.isNotNull()))
+    return out.withColumn("errors", F.filter(wrong, lambda x: x.isNotNull())).drop("__json", "__areas")
 
 
 # Changes.
