@@ -30,12 +30,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minute
 def merge_reports(events: DataFrame, table: store.Table, checkpoint: str):
     """Add each report event (id) to its notice; all that has come is handled, then the stream stops.
 
-    A batch that is handled again after a failure between its commit and the stream's counts twice; sinks that can't
-    bear that should key their events.
+    A batch that is handled again, after a failure between its commit and the stream's, is skipped: the table knows the
+    last batch of each stream, by its checkpoint.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        more, _unknown = notices.count_reports(table.read(), batch)
-        table.commit(more)
+    def merge(batch: DataFrame, number: int) -> None:
+        if not table.holds(checkpoint, number):
+            more, _unknown = notices.count_reports(table.read(), batch)
+            table.commit(more, checkpoint, number)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
