@@ -13,9 +13,6 @@ from tidemark.plans import layers, zones
 from tidemark.plans import notices as bound
 from tidemark.sources import geojson, kml, reports
 
-K = F.col("c_custkey")
-
-
 def _point(lat, long):
     return F.struct(lat.cast("double").alias("lat"), long.cast("double").alias("long"))
 
@@ -26,19 +23,19 @@ def _part(kind: str, *points):
 
 def drawn_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as notices: a point, a level line, a rectangle or an L, and for every fifth a line of one point, which can't be drawn."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    at = lambda lat, long: _point(K % 30 + lat, K % 70 + long)
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    at = lambda lat, long: _point(k % 30 + lat, k % 70 + long)
     box, bent = [(0, 0), (0, 4), (2, 4), (2, 0)], [(0, 0), (0, 4), (1, 4), (1, 1), (4, 1), (4, 0)]
-    ring = F.when(K % 2 == 0, _part("polygon", *[at(*p) for p in box])).otherwise(_part("polygon", *[at(*p) for p in bent]))
-    areas = F.array(_part("point", _point(K % 50, K % 100)), _part("line", _point(K % 40, K % 60), _point(K % 40, K % 60 + 2)), ring)
-    short = F.array(_part("line", _point(K % 20, K % 20)))
+    ring = F.when(k % 2 == 0, _part("polygon", *[at(*p) for p in box])).otherwise(_part("polygon", *[at(*p) for p in bent]))
+    areas = F.array(_part("point", _point(k % 50, k % 100)), _part("line", _point(k % 40, k % 60), _point(k % 40, k % 60 + 2)), ring)
+    short = F.array(_part("line", _point(k % 20, k % 20)))
     none = F.lit(None).cast("string")
-    day = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((K % 90).cast("int"))
+    day = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k % 90).cast("int"))
     return c.select(
-        K.cast("string").alias("id"), F.when(K % 3 == 0, "alert").otherwise("info").alias("kind"), F.col("c_mktsegment").alias("category"), F.col("c_name").alias("title"), F.lit("d").alias("description"),
-        F.when(K % 4 == 0, schemas.ZONE_SOURCE).otherwise("manual").alias("source"), none.alias("noticeRef"), none.alias("sourceUrl"), K.cast("string").alias("subKey"), none.alias("locationLabel"),
-        F.when(K % 5 == 0, F.concat(areas, short)).otherwise(areas).alias("areas"), (K % 3).cast("double").alias("distance"), day.alias("publishedAt"), day.alias("activeFrom"), none.cast("timestamp_ntz").alias("activeTo"),
-        F.lit(False).alias("needsReview"), F.array().cast("array<string>").alias("reviewReasons"), (K % 7).cast("int").alias("reports"), day.alias("createdAt"), day.alias("updatedAt"),
+        k.cast("string").alias("id"), F.when(k % 3 == 0, "alert").otherwise("info").alias("kind"), F.col("c_mktsegment").alias("category"), F.col("c_name").alias("title"), F.lit("d").alias("description"),
+        F.when(k % 4 == 0, schemas.ZONE_SOURCE).otherwise("manual").alias("source"), none.alias("noticeRef"), none.alias("sourceUrl"), k.cast("string").alias("subKey"), none.alias("locationLabel"),
+        F.when(k % 5 == 0, F.concat(areas, short)).otherwise(areas).alias("areas"), (k % 3).cast("double").alias("distance"), day.alias("publishedAt"), day.alias("activeFrom"), none.cast("timestamp_ntz").alias("activeTo"),
+        F.lit(False).alias("needsReview"), F.array().cast("array<string>").alias("reviewReasons"), (k % 7).cast("int").alias("reports"), day.alias("createdAt"), day.alias("updatedAt"),
     )
 
 
