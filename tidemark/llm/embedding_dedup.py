@@ -3,7 +3,7 @@
 Cosine >= c is distance <= epsilon = sqrt(2 - 2 c) between unit vectors. Equal vectors are one node. Nodes are projected
 on the leading principal directions of all vectors, cut into grid cells of side epsilon and sorted in the order of the
 cells. The sequence is dealt to tasks by range and written to the shared folder in blocks, each with its bounding box in
-the principal directions. Intervals of the sequence are joined recursively, coarse ones first: a pair of intervals
+the principal directions, and of the length of what lies outside of them. Intervals of the sequence are joined recursively, coarse ones first: a pair of intervals
 whose boxes are farther apart than epsilon is skipped with all it contains (a projection never lengthens a distance).
 The pairs of blocks that remain are compared by matrix products in double precision on the mapped files; what leaves a
 task is a spanning forest of the links, and for each node the sum of the rows that it links with.
@@ -27,9 +27,11 @@ from tidemark.llm.components import components, forest
 #: Vectors of a block; vectors that one task sorts and writes.
 BLOCK, TASK_VECTORS = 1024, 16_384
 #: Principal directions of the grid order, and of the bounding boxes; dimensions that they are found in.
-CELL_DIMS, BOX_DIMS, PRINCIPAL_OF = 4, 12, 256
+CELL_DIMS, BOX_DIMS, PRINCIPAL_OF = 4, 16, 256
 #: Children of an interval, as a power of two.
 FAN = 5
+#: By how much a box is wider than its vectors.
+ROUNDING = 1e-7
 
 
 def read_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -90,6 +92,7 @@ def principal(nodes: DataFrame, dims: int) -> np.ndarray:
 def write_blocks(nodes: DataFrame, directions: np.ndarray, epsilon: float, folder: str, total: int) -> DataFrame:
     """Sort by grid cells and write; (block, lo0.., hi0..): block is the task's number and the block's in it."""
     dims, k = directions.shape
+    sides = k + 1
     cells = [f"c{i}" for i in range(min(CELL_DIMS, k))]
 
     def place(batches):
@@ -111,15 +114,18 @@ def write_blocks(nodes: DataFrame, directions: np.ndarray, epsilon: float, folde
             block = (task << 20) + i // BLOCK
             write_file(f"{folder}/{block}", b"".join(a.tobytes() for a in (np.array([len(x), dims]), part.column("node").to_numpy(), part.column("n").to_numpy(), x)))
             at = x @ directions
+            # two rests are at least as far apart as their lengths differ; a little wider, for rounding
+            rest = np.sqrt(np.maximum(0, 1 - (at * at).sum(axis=1)))[:, None]
+            at = np.hstack([at, rest])
             names.append(block)
-            boxes.append(np.concatenate([at.min(axis=0), at.max(axis=0)]))
+            boxes.append(np.concatenate([at.min(axis=0) - ROUNDING, at.max(axis=0) + ROUNDING]))
         boxes = np.array(boxes)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[pa.array(np.ascontiguousarray(boxes[:, i])) for i in range(2 * k)]], names=["block", *[f"lo{i}" for i in range(k)], *[f"hi{i}" for i in range(k)]])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[pa.array(np.ascontiguousarray(boxes[:, i])) for i in range(2 * sides)]], names=["block", *[f"lo{i}" for i in range(sides)], *[f"hi{i}" for i in range(sides)]])
 
     kinds = ", ".join(f"{c} int" for c in cells)
     placed = session.cut(session.arrow_map(nodes.select("node", "n", "v"), place, f"{kinds}, node long, n long, v binary"))
     dealt = placed.repartitionByRange(max(1, -(-total // TASK_VECTORS)), *cells, "node").sortWithinPartitions(*cells, "node")
-    edges = ", ".join(f"{e}{i} double" for e in ("lo", "hi") for i in range(k))
+    edges = ", ".join(f"{e}{i} double" for e in ("lo", "hi") for i in range(sides))
     return session.cut(session.arrow_map(dealt, write, f"block long, {edges}"))
 
 
@@ -185,7 +191,7 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     directions = principal(nodes, size // 8)
     folder = session.shared_path(spark, "grid-order")
     blocks = write_blocks(nodes, directions, epsilon, folder, total)
-    found = session.cut(compare_blocks(near_blocks(blocks, epsilon, directions.shape[1]), folder, cosine))
+    found = session.cut(compare_blocks(near_blocks(blocks, epsilon, directions.shape[1] + 1), folder, cosine))
     sums = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     groups = components(found.filter("kind = 1").select("a", "b"))
     of = nodes.join(sums, "node", "left").join(groups, "node", "left").select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
