@@ -4,7 +4,7 @@ Shingles are runs of ``shingle`` words, as in ``simhash``; repeats don't count.
 words' hashes, from which the bits of all ``words`` 64-bit words of the fingerprint are mixed. The bits of each word are
 partitioned, and thresholds are allotted over all partitions of all words together, so that any two fingerprints within
 ``radius`` bits of all meet. Beyond the radius most pairs meet as well: two texts with a similarity of 0.8 differ in
-0.15 of the bits and meet in one of 40 partitions of 13 bits with a probability of 0.994, with one of 0.85 in 0.9996.
+0.15 of the bits and meet in one of 40 partitions of 13 bits with a probability of 0.994, with one of 0.85 in 0.9994.
 What meets is compared on two further words (at most ``verify`` of 128 bits; a similarity of 0.8 stays below it but for
 one pair in a million) and then by the shingles themselves: pairs link if the Jaccard similarity is ``least`` or more.
 
