@@ -5,8 +5,9 @@ on the leading principal directions of all vectors, cut into grid cells of side
 cells. The sequence is dealt to tasks by range and written to the shared folder in blocks, each with its bounding box in
 the principal directions, and of the length of what lies outside of them. Intervals of the sequence are joined recursively, coarse ones first: a pair of intervals
 whose boxes are farther apart than epsilon is skipped with all it contains (a projection never lengthens a distance).
-The pairs of blocks that remain are compared by matrix products in double precision on the mapped files; what leaves a
-task is a spanning forest of the links, and for each node the sum of the rows that it links with.
+The pairs of blocks that remain are dealt in square tiles, so that a task reads a block once for a side of a tile, and are
+compared by matrix products in double precision on the mapped files; what leaves a task is a spanning forest of the links,
+and for each node the sum of the rows that it links with.
 
 Cases: null, zero, non-finite vectors, and vectors with such or null components, link with nothing; a shorter vector
 counts as padded with zeros; equal vectors link; equal rows are separate vectors; rows with a null id link with nothing
@@ -15,6 +16,8 @@ and have no component; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +33,8 @@ BLOCK, TASK_VECTORS = 1024, 16_384
 CELL_DIMS, BOX_DIMS, PRINCIPAL_OF = 4, 16, 256
 #: Children of an interval, as a power of two.
 FAN = 5
+#: Blocks of a tile's side, as a power of two; bytes of blocks that a task keeps open.
+TILE, KEPT_BYTES = 3, 64 << 20
 #: By how much a box is wider than its vectors.
 ROUNDING = 1e-7
 
@@ -149,20 +154,33 @@ def near_blocks(blocks: DataFrame, epsilon: float, k: int) -> DataFrame:
     return pairs
 
 
-def _open(folder: str, block: int):
-    data = map_file(f"{folder}/{block}")
-    n, dims = np.frombuffer(data, dtype=np.int64, count=2).tolist()
-    ids, counts = np.frombuffer(data, dtype=np.int64, count=2 * n, offset=16).reshape(2, n)
-    return ids, counts, np.frombuffer(data, offset=16 + 16 * n).reshape(n, dims)
+class Blocks:
+    """Blocks of the shared folder; those used last stay open, up to a number of bytes and two at least."""
+
+    def __init__(self, folder: str):
+        self.folder, self.kept, self.size = folder, OrderedDict(), 0
+
+    def get(self, block: int):
+        if (found := self.kept.pop(block, None)) is None:
+            data = map_file(f"{self.folder}/{block}")
+            n, dims = np.frombuffer(data, dtype=np.int64, count=2).tolist()
+            ids, counts = np.frombuffer(data, dtype=np.int64, count=2 * n, offset=16).reshape(2, n)
+            found = ids, counts, np.frombuffer(data, offset=16 + 16 * n).reshape(n, dims)
+            self.size += found[2].nbytes
+            while self.size > KEPT_BYTES and len(self.kept) > 1:
+                self.size -= self.kept.popitem(last=False)[1][2].nbytes
+        self.kept[block] = found
+        return found
 
 
 def compare_blocks(pairs: DataFrame, folder: str, cosine: float) -> DataFrame:
     """(kind, a, b): kind 0, a links with b rows; kind 1, an edge of the spanning forest."""
 
     def run(batches):
+        blocks = Blocks(folder)
         for batch in batches:
             for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (ids, n, x), (ids2, n2, x2) = _open(folder, i), _open(folder, j)
+                (ids, n, x), (ids2, n2, x2) = blocks.get(i), blocks.get(j)
                 near = x @ x2.T >= cosine
                 if i == j:
                     np.fill_diagonal(near, False)
@@ -175,7 +193,9 @@ def compare_blocks(pairs: DataFrame, folder: str, cosine: float) -> DataFrame:
                 kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(a), np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([some, a])), pa.array(np.concatenate([sums, b]))], names=["kind", "a", "b"])
 
-    return session.arrow_map(pairs.repartition(max(default_partitions(pairs.sparkSession), 8)), run, "kind int, a long, b long")
+    tiles = [F.shiftright("i", TILE), F.shiftright("j", TILE), F.col("i"), F.col("j")]
+    dealt = session.cut(pairs).repartitionByRange(max(default_partitions(pairs.sparkSession), 8), *tiles).sortWithinPartitions(*tiles)
+    return session.arrow_map(dealt, run, "kind int, a long, b long")
 
 
 def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
