@@ -327,6 +327,42 @@ def long_date(c: Column) -> Column:
     return F.date_format(c, "d MMMM yyyy")
 
 
+#: Dates and times as views read them, and those that a field of a form takes as they are.
+ISO = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?)?)?$"
+FIELD = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
+
+
+def iso_time(c: Column) -> Column:
+    """The time (in the session's zone where it names none) of an ISO text with year, month and day in parts; else null."""
+    return F.when(c.rlike(ISO), F.try_to_timestamp(F.replace(c, F.lit(","), F.lit("."))))
+
+
+def view_date(c: Column) -> Column:
+    """A text's time for a table, such as '19 Jun 2026, 23:41'; the text itself where it has none, empty for null."""
+    return F.coalesce(F.date_format(iso_time(c), "dd MMM yyyy, HH:mm"), c, F.lit(""))
+
+
+def view_relative(c: Column, now: Column) -> Column:
+    """A text's time as seen from ``now``, such as '2 hours ago', in the largest unit that is full; empty without a time."""
+
+    def phrase(at):
+        out = None
+        for unit in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND"):
+            n = F.timestamp_diff(unit, now, at)
+            size = F.concat(F.abs(n).cast("string"), F.lit(f" {unit.lower()}"), F.when(F.abs(n) == 1, "").otherwise("s"))
+            said = F.when(at < now, F.concat(size, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), size))
+            full = (n != 0) | F.lit(unit == "SECOND")
+            out = F.when(full, said) if out is None else out.when(full, said)
+        return F.when(at.isNotNull(), out)
+
+    return F.coalesce(let(iso_time(c), phrase), F.lit(""))
+
+
+def datetime_local(c: Column) -> Column:
+    """A text's date and minute for a field of a form: as written where it has them, else in the session's zone, else the text."""
+    return F.when(c.rlike(FIELD), F.substring(c, 1, 16)).otherwise(F.coalesce(F.date_format(iso_time(c), "yyyy-MM-dd'T'HH:mm"), c, F.lit("")))
+
+
 def fact_lines(distance: Column, start: Column, end: Column, reference: Column) -> Column:
     lines = F.array(
         F.when(distance.isNotNull(), F.concat(F.lit("Vessels must keep at least "), number_text(distance), F.lit(" m clear."))),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas, session
 from tidemark.functions import geo, text
-from tidemark.operators import adapters, catalog, classification, snapshot
+from tidemark.operators import adapters, catalog, classification, refresh, snapshot
 from tidemark.operators import notices as n
 from tidemark.plans import layers, zones
 from tidemark.plans import notices as bound
@@ -312,11 +312,41 @@ def import_guards(spark, sf_dir):
     return spark.createDataFrame(out, "name string, error string")
 
 
+VIEWED = "1998-08-02T12:00:00"
+
+
+def date_views(spark, sf_dir):
+    """Days of orders, written in six ways, as views show them on a fixed day."""
+    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    written = F.when(k % 6 == 0, day).when(k % 6 == 1, F.concat(day, F.lit("T11:59:30.250"))).when(k % 6 == 2, F.concat(day, F.lit("T23:30:00+02:00"))).when(k % 6 == 3, F.concat(day, F.lit(" noon"))).when(k % 6 == 4, "")
+    # every seventh is near the fixed day
+    near = F.concat(F.lit("1998-08-0"), (k % 4 + 1).cast("string"), F.lit("T12:0"), (k % 10).cast("string"), F.lit(":01Z"))
+    at, now = F.when(k % 7 == 0, near).otherwise(written), F.lit(VIEWED).cast("timestamp")
+    return o.select("o_orderkey", text.view_date(at).alias("shown"), text.view_relative(at, now).alias("since"), text.datetime_local(at).alias("field"))
+
+
+def layer_refresh(spark, sf_dir):
+    """Customers as layers: a fetched text that passes or fails in eight ways against a stored one that is the same, another, damaged or absent."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    shape = lambda g, kind="Feature": f'{{"type":"{kind}","geometry":{g},"properties":{{"n":"N"}}}}'
+    point, line = '{"type":"Point","coordinates":[X,35]}', '{"type":"GeometryCollection","geometries":[{"type":"LineString","coordinates":[[X,36],[15,36.5]]}]}'
+    of = lambda *fs: f'{{"type":"FeatureCollection","bbox":[1],"name":"N","features":[{",".join(fs)}]}}'
+    texts = (of(shape(point), shape(line)), of(shape(point)), None, '{"type":"Point"}', of(), of(shape(point), shape(point, "Thing")), of(shape(point), shape("null")), of(shape(line), shape(point.replace("X", "X00"))))
+    filled = lambda x: F.replace(F.replace(x, F.lit("X"), (k % 2 + 13).cast("string")), F.lit("N"), k.cast("string"))
+    raw = filled(F.element_at(F.array(*[F.lit(x) for x in texts]), (k % 8 + 1).cast("int")))
+    old = F.when(k % 5 == 1, "{").when(k % 3 == 0, filled(F.lit(of(shape(line))))).otherwise(F.regexp_replace(raw, '"(features|name)":', '"$1" : '))
+    bounds = F.array(*[F.lit(x) for x in geo.BOUNDS]).alias("bounds")
+    key = k.cast("string").alias("dataset_key")
+    found = refresh.compared(c.select(key, raw.alias("raw"), bounds), c.filter(k % 5 != 0).select(key, old.alias("raw"), bounds).filter("raw IS NOT NULL"))
+    return found.select("dataset_key", "state", "error", F.col("next.feature_count").alias("features"), *[F.get("next.bbox", i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.col("current.feature_count").alias("old_features"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         served_notices, zone_map, zone_map_totals, refused_reports, parsed_notices, moderated_notices, resolved_reports, added_notices, added_logs, zone_facts, zone_descriptions, importable_shapes, import_counts,
-        anchoring_adapter, bunkering_adapter, label_functions, valid_geometries, layer_normalized, layer_summary, kml_placemarks, context_check, import_guards,
+        anchoring_adapter, bunkering_adapter, label_functions, valid_geometries, layer_normalized, layer_summary, kml_placemarks, context_check, import_guards, date_views, layer_refresh,
     )
 }
 _layers = [x.key for x in schemas.MAP_LAYERS]
@@ -388,5 +418,23 @@ UNION ALL SELECT 'layer', 'the snapshot has no layer bolts' FROM c UNION ALL SEL
 UNION ALL SELECT 'classes', NULL FROM c UNION ALL SELECT 'all classes', 'only ' || few || ' of ' || labels || ' classified sites are known' FROM c
 UNION ALL SELECT 'adapter', 'interactive dataset "{_first_context}" has no adapter' FROM c""",
 }
+ORACLES["date_views"] = f"""
+WITH a AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+b AS (SELECT k, CASE WHEN k % 7 = 0 THEN '1998-08-0' || (k % 4 + 1) || 'T12:0' || (k % 10) || ':01Z' ELSE CASE k % 6 WHEN 0 THEN d WHEN 1 THEN d || 'T11:59:30.250' WHEN 2 THEN d || 'T23:30:00+02:00' WHEN 3 THEN d || ' noon' WHEN 4 THEN '' END END AS w,
+  CASE WHEN k % 7 = 0 THEN CAST('1998-08-0' || (k % 4 + 1) || ' 12:0' || (k % 10) || ':01' AS TIMESTAMP) ELSE CASE k % 6 WHEN 0 THEN CAST(d AS TIMESTAMP) WHEN 1 THEN CAST(d || ' 11:59:30.250' AS TIMESTAMP) WHEN 2 THEN CAST(d || ' 21:30:00' AS TIMESTAMP) END END AS t FROM a),
+n AS (SELECT *, TIMESTAMP '{VIEWED}' AS v FROM b),
+u AS (SELECT *, least(t, v) AS l, greatest(t, v) AS h FROM n),
+s AS (SELECT *, CASE WHEN date_sub('year', l, h) > 0 THEN [date_sub('year', l, h), 1] WHEN date_sub('month', l, h) > 0 THEN [date_sub('month', l, h), 2] WHEN date_sub('day', l, h) > 0 THEN [date_sub('day', l, h), 3]
+  WHEN date_sub('hour', l, h) > 0 THEN [date_sub('hour', l, h), 4] WHEN date_sub('minute', l, h) > 0 THEN [date_sub('minute', l, h), 5] ELSE [date_sub('second', l, h), 6] END AS p FROM u)
+SELECT k AS o_orderkey, coalesce(strftime(t, '%d %b %Y, %H:%M'), w, '') AS shown,
+  CASE WHEN t IS NULL THEN '' ELSE CASE WHEN t < v THEN '' ELSE 'in ' END || p[1] || ' ' || ['year', 'month', 'day', 'hour', 'minute', 'second'][p[2]] || CASE WHEN p[1] = 1 THEN '' ELSE 's' END || CASE WHEN t < v THEN ' ago' ELSE '' END END AS since,
+  CASE WHEN t IS NULL THEN coalesce(w, '') WHEN length(w) > 10 THEN left(w, 16) ELSE w || 'T00:00' END AS field FROM s"""
+ORACLES["layer_refresh"] = """
+WITH a AS (SELECT c_custkey AS k, c_custkey % 8 AS m, c_custkey % 2 + 13 AS x FROM customer),
+b AS (SELECT *, CASE m WHEN 2 THEN 'no text' WHEN 3 THEN 'expected type FeatureCollection, got "Point"' WHEN 4 THEN 'no features' WHEN 5 THEN 'feature 1 is not a GeoJSON Feature' WHEN 6 THEN 'feature 1 has no valid geometry' WHEN 7 THEN 'feature 1 has no valid geometry' END AS wrong,
+  k % 5 = 1 AS damaged, k % 5 <> 0 AND k % 3 = 0 AND k % 5 <> 1 AS another, k % 5 = 0 AS absent FROM a)
+SELECT CAST(k AS VARCHAR) AS dataset_key, CASE WHEN wrong IS NOT NULL OR damaged THEN 'failed' WHEN another OR absent THEN 'changed' ELSE 'unchanged' END AS state, coalesce(wrong, CASE WHEN damaged THEN 'stored: not JSON' END) AS error,
+  CASE m WHEN 0 THEN 2 WHEN 1 THEN 1 END AS features, CASE WHEN m < 2 THEN CAST(x AS DOUBLE) END AS x0, CASE WHEN m < 2 THEN 35.0::DOUBLE END AS y0, CASE m WHEN 0 THEN 15.0::DOUBLE WHEN 1 THEN CAST(x AS DOUBLE) END AS x1, CASE m WHEN 0 THEN 36.5::DOUBLE WHEN 1 THEN 35.0::DOUBLE END AS y1,
+  CASE WHEN absent OR damaged THEN NULL WHEN another THEN 1 WHEN m = 0 THEN 2 WHEN m = 1 THEN 1 END AS old_features FROM b"""
 #: The place in the folder counts placemarks without shapes, too.
 ORACLES["kml_placemarks"] = f"SELECT * EXCLUDE n_nationkey FROM ({ORACLES['kml_placemarks']}) WHERE n_nationkey % 4 <> 0"

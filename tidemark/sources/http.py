@@ -8,12 +8,16 @@ from urllib.request import Request, urlopen
 TIMEOUT_S = 30
 
 
-def fetch_text(url: str, headers: dict[str, str] | None = None, timeout: float = TIMEOUT_S) -> str:
-    """The text at a URL; a status beyond 2xx is an error."""
+def fetch_bytes(url: str, headers: dict[str, str] | None = None, timeout: float = TIMEOUT_S) -> bytes:
+    """What is at a URL; a status beyond 2xx is an error."""
     with urlopen(Request(url, headers=headers or {}), timeout=timeout) as answer:  # noqa: S310
         if not 200 <= (answer.status or 200) < 300:
             raise OSError(f"{url}: status {answer.status}")
-        return answer.read().decode("utf-8", "replace")
+        return answer.read()
+
+
+def fetch_text(url: str, headers: dict[str, str] | None = None, timeout: float = TIMEOUT_S) -> str:
+    return fetch_bytes(url, headers, timeout).decode("utf-8", "replace")
 
 
 def kml_url(map_id: str, base: str = "https://www.google.com/maps/d/kml") -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.sources import http
 
 #: The least number of sites that a report is trusted with, and patterns of codes, links and weeks.
 LEAST_SITES = 80
@@ -70,6 +71,14 @@ def classification(c: Column, classes) -> Column:
     return F.when(low.isin(*classes), low)
 
 
+def fetch_latest(spark: SparkSession, page: str, text_of=http.fetch_text, bytes_of=http.fetch_bytes) -> tuple[str, bytes]:
+    """The URL and the content of the latest report that a page links to; none is an error."""
+    links = anchors(spark.createDataFrame([(page, text_of(page))], "page string, html string"), "page", "html")
+    if not (found := latest(links, F.col("page"), "page").first()):
+        raise LookupError(f"no report on {page}")
+    return found.url, bytes_of(found.url)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A report that has been transcribed to JSON: (publishedOn, sites)."""
     return spark.read.schema(REPORT).option("multiLine", True).json(path)
